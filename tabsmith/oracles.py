@@ -96,3 +96,154 @@ def profile_sql(table: str, source: str | None = None, cols: list[tuple[str, str
   CASE WHEN kind = 'numeric' THEN round(min_value, 4) END AS min_value,
   CASE WHEN kind = 'numeric' THEN round(max_value, 4) END AS max_value
 FROM ({column_summary_sql(src, cs)}) k"""
+
+
+# ---------------------------------------------------------------- fixtures
+LINEITEM_DEFECTS_SQL = """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
+  CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_quantity END AS l_quantity,
+  l_extendedprice, l_discount,
+  CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_tax END AS l_tax,
+  l_returnflag, l_linestatus, l_shipdate,
+  'R' || CAST(l_orderkey * 8 + l_linenumber AS VARCHAR) AS ship_ref,
+  'web' AS channel,
+  l_orderkey * 8 + l_linenumber AS line_id
+FROM (SELECT *, unnest(generate_series(1, CASE WHEN l_orderkey % 13 = 0 THEN 2 ELSE 1 END)) AS copy_no FROM lineitem) x"""
+
+LINEITEM_DEFECTS_COLS = SCHEMAS["lineitem"] + [("ship_ref", "string"), ("channel", "string"), ("line_id", "numeric")]
+
+
+def _is_id_name(c: str) -> bool:
+    n = c.lower().replace("-", "_").replace(" ", "_")
+    return n == "id" or n.endswith("_id") or n.endswith("id")
+
+
+def quality_ctes(source_sql: str, cols: list[tuple[str, str]], order_by: str, target: str | None = None) -> str:
+    """CTEs d (data), s (column summary), f (flags), o (outliers), ov (one-row overview),
+    iss (issues), full (overview + issue counts + score)."""
+    pdt_parts = []
+    for pos, (c, storage) in enumerate(cols):
+        if storage == "temporal":
+            pdt_parts.append(f"SELECT '{c}' AS column_name, TRUE AS pdt")
+        elif storage == "string":
+            pdt_parts.append(
+                f"""SELECT '{c}' AS column_name,
+  (SELECT count({c}) FROM d) >= 8 AND coalesce((SELECT avg(CASE WHEN {date_ok('v')} THEN 1.0 ELSE 0.0 END)
+     FROM (SELECT {c} AS v FROM d WHERE {c} IS NOT NULL ORDER BY {order_by}, {c} LIMIT 60) t), 0) >= 0.8 AS pdt"""
+            )
+    pdt_sql = "\nUNION ALL\n".join(pdt_parts) if pdt_parts else "SELECT NULL::VARCHAR AS column_name, NULL::BOOLEAN AS pdt WHERE FALSE"
+    out_parts = []
+    for pos, (c, storage) in enumerate(cols):
+        if storage != "numeric":
+            continue
+        x = f"CAST({c} AS DOUBLE)"
+        out_parts.append(
+            f"""SELECT {pos} AS position, '{c}' AS column_name, q.n, q.distinct_n, q.q1, q.q3,
+  (SELECT count(*) FROM d WHERE {x} < q.q1 - 1.5 * (q.q3 - q.q1) OR {x} > q.q3 + 1.5 * (q.q3 - q.q1)) AS cnt
+FROM (SELECT count({x}) AS n, count(DISTINCT {x}) AS distinct_n,
+             quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.75) AS q3 FROM d) q"""
+        )
+    out_sql = "\nUNION ALL\n".join(out_parts)
+    id_names = [c for c, _ in cols if _is_id_name(c)]
+    id_list = ", ".join(f"'{c}'" for c in id_names)
+    id_expr = (f"(column_name IN ({id_list}) AND rows >= 20 AND unique_count / greatest(non_null, 1) >= 0.9)"
+               if id_names else "FALSE")
+    tgt = f"'{target}'" if target else "NULL"
+    ncols = len(cols)
+    return f"""WITH d AS ({source_sql}),
+s AS ({column_summary_sql('d', cols)}),
+p AS ({pdt_sql}),
+f AS (
+  SELECT s.*, rows - non_null AS missing, unique_count / greatest(non_null, 1) AS unique_ratio,
+    coalesce(column_name = {tgt}, FALSE) AS is_target,
+    unique_count <= 1 AS is_constant,
+    {id_expr} AS is_id_like,
+    storage <> 'numeric' AND NOT coalesce((SELECT pdt FROM p WHERE p.column_name = s.column_name), FALSE)
+      AND unique_count > 50 AND unique_count / greatest(non_null, 1) >= 0.6 AS is_high_cardinality
+  FROM s),
+oq AS ({out_sql}),
+o AS (
+  SELECT CAST(position AS BIGINT) AS position, column_name, CAST(cnt AS BIGINT) AS count,
+    round(cnt / greatest(n, 1) * 100, 2) AS percent,
+    round(q1 - 1.5 * (q3 - q1), 4) AS lower_bound, round(q3 + 1.5 * (q3 - q1), 4) AS upper_bound
+  FROM oq WHERE distinct_n >= 8 AND q3 - q1 <> 0 AND cnt > 0),
+dup AS (SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d) u) AS duplicate_rows FROM d),
+pc AS (
+  SELECT coalesce(sum(missing), 0) AS missing_cells,
+    count(*) FILTER (WHERE is_constant) AS constant_count,
+    count(*) FILTER (WHERE is_id_like) AS id_count,
+    count(*) FILTER (WHERE is_high_cardinality AND NOT is_id_like) AS high_card_count,
+    coalesce(array_to_string(list(column_name ORDER BY position) FILTER (WHERE is_constant)[1:8], ','), '') AS constant_columns,
+    coalesce(array_to_string(list(column_name ORDER BY position) FILTER (WHERE is_id_like)[1:8], ','), '') AS id_columns,
+    coalesce(array_to_string(list(column_name ORDER BY missing DESC, position) FILTER (WHERE missing > 0)[1:5], ','), '') AS missing_columns,
+    coalesce(array_to_string(list(column_name ORDER BY position) FILTER (WHERE is_high_cardinality AND NOT is_id_like)[1:8], ','), '') AS high_card_columns
+  FROM f),
+oa AS (
+  SELECT count(*) AS outlier_columns, coalesce(sum(count), 0) AS outlier_values,
+    coalesce(max(percent), 0.0) AS outlier_max_percent,
+    coalesce(array_to_string(list(column_name ORDER BY count DESC, position)[1:5], ','), '') AS outlier_column_names
+  FROM o),
+ov AS (
+  SELECT dup.*, pc.*, oa.*, {ncols} AS column_count,
+    duplicate_rows / greatest(rows, 1) * 100 AS duplicate_percent,
+    missing_cells / greatest(rows * {ncols}, 1) * 100 AS missing_percent
+  FROM dup, pc, oa),
+iss AS (
+  SELECT 'duplicates' AS type, {sev_sql('duplicate_percent')} AS severity, 'Duplicate rows detected' AS title,
+    CAST(duplicate_rows AS BIGINT) AS metric_count, round(duplicate_percent, 2) AS metric_percent, '' AS columns FROM ov WHERE duplicate_rows > 0
+  UNION ALL
+  SELECT 'missing', {sev_sql('missing_percent')}, 'Missing values found', CAST(missing_cells AS BIGINT), round(missing_percent, 2), missing_columns FROM ov WHERE missing_cells > 0
+  UNION ALL
+  SELECT 'constant', 'medium', 'Constant columns', CAST(constant_count AS BIGINT), NULL::DOUBLE, constant_columns FROM ov WHERE constant_count > 0
+  UNION ALL
+  SELECT 'id_like', 'medium', 'ID-like columns', CAST(id_count AS BIGINT), NULL::DOUBLE, id_columns FROM ov WHERE id_count > 0
+  UNION ALL
+  SELECT 'high_cardinality', 'medium', 'High-cardinality categorical columns', CAST(high_card_count AS BIGINT), NULL::DOUBLE, high_card_columns FROM ov WHERE high_card_count > 0
+  UNION ALL
+  SELECT 'outliers', {sev_sql('outlier_max_percent')}, 'Numeric outliers', CAST(outlier_values AS BIGINT), NULL::DOUBLE, outlier_column_names FROM ov WHERE outlier_columns > 0),
+ic AS (
+  SELECT count(*) AS issue_count, count(*) FILTER (WHERE severity = 'high') AS high_issues,
+    count(*) FILTER (WHERE severity = 'medium') AS medium_issues, count(*) FILTER (WHERE severity = 'low') AS low_issues FROM iss),
+qfull AS (
+  SELECT ov.*, ic.*,
+    CASE WHEN rows = 0 OR column_count = 0 THEN 0
+         ELSE greatest(0, least(100, 100 - (high_issues * 16 + medium_issues * 9 + low_issues * 4))) END AS score
+  FROM ov, ic)
+"""
+
+
+def sev_sql(x: str) -> str:
+    return f"CASE WHEN {x} >= 30 THEN 'high' WHEN {x} >= 10 THEN 'medium' ELSE 'low' END"
+
+
+def grade_sql(x: str) -> str:
+    return f"CASE WHEN {x} >= 90 THEN 'excellent' WHEN {x} >= 75 THEN 'good' WHEN {x} >= 55 THEN 'needs review' ELSE 'high risk' END"
+
+
+def bounded_sql(x: str) -> str:
+    return f"greatest(0, least(100, CAST(round_even(CAST({x} AS DOUBLE), 0) AS BIGINT)))"
+
+
+ISSUES_SELECT = """SELECT type, severity, title, metric_count, metric_percent, columns,
+  CAST(CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS BIGINT) AS severity_rank FROM iss"""
+
+SUMMARY_SELECT = f"""SELECT CAST(score AS BIGINT) AS score, {grade_sql('score')} AS grade, CAST(issue_count AS BIGINT) AS issue_count,
+  CAST(duplicate_rows AS BIGINT) AS duplicate_rows, CAST(missing_cells AS BIGINT) AS missing_cells,
+  CAST(outlier_columns AS BIGINT) AS outlier_columns FROM qfull"""
+
+HEALTH_SELECT = f"""SELECT hs AS score, {grade_sql('hs')} AS grade,
+  CASE WHEN hs >= 85 THEN 'low' WHEN hs >= 65 THEN 'moderate' ELSE 'high' END AS risk_level,
+  CASE WHEN blocker_count > 0 THEN 'Fix blockers before training' WHEN hs >= 85 THEN 'Ready for training'
+       WHEN hs >= 65 THEN 'Train with caution' ELSE 'Clean before training' END AS status,
+  blocker_count = 0 AS can_train, blocker_count, warning_count,
+  completeness_score, duplication_score, structure_score, signal_score
+FROM (
+  SELECT *, CAST({bounded_sql('score * 0.35 + completeness_score * 0.20 + duplication_score * 0.15 + structure_score * 0.15 + signal_score * 0.15')} AS BIGINT) AS hs
+  FROM (
+    SELECT *,
+      CAST({bounded_sql('100 - least(70.0, missing_percent * 2.0)')} AS BIGINT) AS completeness_score,
+      CAST({bounded_sql('100 - least(70.0, duplicate_percent * 2.5)')} AS BIGINT) AS duplication_score,
+      CAST({bounded_sql("100 - ((CASE WHEN rows < 30 THEN 35 WHEN rows < 100 THEN 18 ELSE 0 END) + (CASE WHEN column_count < 2 THEN 50 ELSE 0 END) + least(30, constant_count * 8) + least(24, id_count * 6))")} AS BIGINT) AS structure_score,
+      CAST({bounded_sql("100 - (least(35, outlier_columns * 7) + least(32, high_card_count * 8) + (CASE WHEN column_count < 3 THEN 18 ELSE 0 END))")} AS BIGINT) AS signal_score,
+      CAST((CASE WHEN rows < 30 THEN 1 ELSE 0 END) + (CASE WHEN column_count < 2 THEN 1 ELSE 0 END) + high_issues AS BIGINT) AS blocker_count,
+      CAST(least(medium_issues, 6) AS BIGINT) AS warning_count
+    FROM qfull) a) b"""
