@@ -247,3 +247,64 @@ FROM (
       CAST((CASE WHEN rows < 30 THEN 1 ELSE 0 END) + (CASE WHEN column_count < 2 THEN 1 ELSE 0 END) + high_issues AS BIGINT) AS blocker_count,
       CAST(least(medium_issues, 6) AS BIGINT) AS warning_count
     FROM qfull) a) b"""
+
+
+# ---------------------------------------------------------------- profiling
+def kinds_sql(table: str) -> str:
+    return f"""SELECT CAST(position AS BIGINT) AS position, column_name, kind, CAST(non_null AS BIGINT) AS non_null,
+  CAST(unique_count AS BIGINT) AS unique_count FROM ({column_summary_sql(table, SCHEMAS[table])}) k"""
+
+
+def top_values_sql(table: str, k: int = 5, cols: list[tuple[str, str]] | None = None, source: str | None = None) -> str:
+    cs = cols or SCHEMAS[table]
+    src = source or table
+    parts = [
+        f"SELECT {pos} AS position, '{c}' AS column_name, {text_of(c, st)} AS value, count(*) AS cnt FROM {src} WHERE {c} IS NOT NULL GROUP BY 3"
+        for pos, (c, st) in enumerate(cs)
+    ]
+    return f"""WITH s AS ({column_summary_sql(src, cs)}),
+fq AS ({' UNION ALL '.join(parts)}),
+r AS (SELECT fq.*, row_number() OVER (PARTITION BY fq.column_name ORDER BY cnt DESC, value) AS rk
+      FROM fq JOIN s ON fq.column_name = s.column_name WHERE s.kind IN ('date', 'categorical', 'text', 'empty'))
+SELECT CAST(position AS BIGINT) AS position, column_name, CAST(rk AS BIGINT) AS rank, value, CAST(cnt AS BIGINT) AS count
+FROM r WHERE rk <= {k}"""
+
+
+# Target-name hints in the order they are tried (hint, problem, reason).
+TARGET_HINTS_SQL = (
+    ("churn", "classification", "Customer churn outcome"),
+    ("default", "classification", "Loan or payment default outcome"),
+    ("defaulted", "classification", "Loan or payment default outcome"),
+    ("fraud", "classification", "Fraud detection outcome"),
+    ("converted", "classification", "Conversion outcome"),
+    ("conversion", "classification", "Conversion outcome"),
+    ("risk", "classification", "Risk class or flag"),
+    ("approved", "classification", "Approval outcome"),
+    ("sales", "regression", "Sales or demand forecast"),
+    ("revenue", "regression", "Revenue forecast"),
+    ("price", "regression", "Price prediction"),
+    ("spend", "regression", "Spend prediction"),
+    ("amount", "regression", "Amount prediction"),
+    ("score", "regression", "Score prediction"),
+    ("demand", "regression", "Demand forecast"),
+)
+
+
+def target_suggestions_sql(table: str, source: str | None = None, cols: list[tuple[str, str]] | None = None) -> str:
+    cs = cols or SCHEMAS[table]
+    src = source or table
+    hint = "CASE " + " ".join(f"WHEN strpos(lower(column_name), '{h}') > 0 THEN '{h}'" for h, _, _ in TARGET_HINTS_SQL) + " END"
+    hp = "CASE hint " + " ".join(f"WHEN '{h}' THEN '{p}'" for h, p, _ in TARGET_HINTS_SQL) + " END"
+    hr = "CASE hint " + " ".join(f"WHEN '{h}' THEN '{r}'" for h, _, r in TARGET_HINTS_SQL) + " END"
+    return f"""WITH s AS (SELECT *, {hint} AS hint FROM ({column_summary_sql(src, cs)}) k),
+t AS (SELECT *, CASE WHEN hint IS NOT NULL THEN {hp}
+                     WHEN kind = 'numeric' AND unique_count > 15 THEN 'regression' ELSE 'classification' END AS problem_type,
+             CASE WHEN hint IS NOT NULL THEN {hr} ELSE 'Modelable column with enough labeled rows' END AS reason
+      FROM s WHERE kind NOT IN ('empty', 'date', 'text') AND non_null >= 10 AND unique_count >= 2)
+SELECT CAST(position AS BIGINT) AS position, column_name, problem_type, reason,
+  CAST(40 + (CASE WHEN hint IS NOT NULL THEN 45 ELSE 0 END)
+     - (CASE WHEN lower(column_name) IN ('id', 'customer_id', 'applicant_id', 'store_id') OR lower(column_name) LIKE '%\\_id' ESCAPE '\\' THEN 35 ELSE 0 END)
+     - (CASE WHEN kind = 'numeric' AND unique_count = non_null THEN 8 ELSE 0 END)
+     + (CASE WHEN problem_type = 'classification' AND unique_count BETWEEN 2 AND 12 THEN 10 ELSE 0 END)
+     + (CASE WHEN problem_type = 'regression' AND unique_count > 15 THEN 10 ELSE 0 END) AS BIGINT) AS score
+FROM t ORDER BY score DESC, position LIMIT 5"""
