@@ -104,9 +104,9 @@ LINEITEM_DEFECTS_SQL = """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
   l_extendedprice, l_discount,
   CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_tax END AS l_tax,
   l_returnflag, l_linestatus, l_shipdate,
-  'R' || CAST(l_orderkey * 8 + l_linenumber AS VARCHAR) AS ship_ref,
+  'R' || CAST(((l_orderkey * 2000 + l_partkey) * 100 + l_suppkey) * 8 + l_linenumber AS VARCHAR) AS ship_ref,
   'web' AS channel,
-  l_orderkey * 8 + l_linenumber AS line_id
+  ((l_orderkey * 2000 + l_partkey) * 100 + l_suppkey) * 8 + l_linenumber AS line_id
 FROM (SELECT *, unnest(generate_series(1, CASE WHEN l_orderkey % 13 = 0 THEN 2 ELSE 1 END)) AS copy_no FROM lineitem) x"""
 
 LINEITEM_DEFECTS_COLS = SCHEMAS["lineitem"] + [("ship_ref", "string"), ("channel", "string"), ("line_id", "numeric")]
@@ -308,3 +308,92 @@ SELECT CAST(position AS BIGINT) AS position, column_name, problem_type, reason,
      + (CASE WHEN problem_type = 'classification' AND unique_count BETWEEN 2 AND 12 THEN 10 ELSE 0 END)
      + (CASE WHEN problem_type = 'regression' AND unique_count > 15 THEN 10 ELSE 0 END) AS BIGINT) AS score
 FROM t ORDER BY score DESC, position LIMIT 5"""
+
+
+# ---------------------------------------------------------------- cleaning
+def cleaning_chain_sql(source_sql: str, cols: list[tuple[str, str]], target: str, drop: list[str]) -> tuple[str, list]:
+    """A WITH-chain c0..c7 with every stage of the cleaning chain materialised once.
+    ``drop`` is the constant + id column list (the steps are checked by the summary)."""
+    keep = [(c, st) for c, st in cols if c not in drop]
+    fills, fsel = [], []
+    for c, st in keep:
+        if c == target:
+            fsel.append(c)
+            continue
+        if st == "numeric":
+            fills.append(f"(SELECT coalesce(median(CAST({c} AS DOUBLE)), 0) FROM c4) AS f_{c}")
+        else:
+            dflt = "NULL" if st == "temporal" else "'Unknown'"
+            fills.append(
+                f"coalesce((SELECT v FROM (SELECT {c} AS v, count(*) AS n FROM c4 WHERE {c} IS NOT NULL "
+                f"GROUP BY 1 ORDER BY n DESC, CAST(v AS VARCHAR) LIMIT 1) mm), {dflt}) AS f_{c}"
+            )
+        fsel.append(f"coalesce({c}, fills.f_{c}) AS {c}")
+    bparts, caps, bw = [], [], []
+    for c, st in keep:
+        if st == "numeric" and c != target:
+            x = f"CAST({c} AS DOUBLE)"
+            bparts.append(
+                f"""SELECT '{c}' AS column_name, q.distinct_n, round(q.q1 - 1.5 * (q.q3 - q.q1), 4) AS lo,
+  round(q.q3 + 1.5 * (q.q3 - q.q1), 4) AS hi, q.q3 - q.q1 AS iqr,
+  (SELECT count(*) FROM c5 WHERE {x} < q.q1 - 1.5 * (q.q3 - q.q1) OR {x} > q.q3 + 1.5 * (q.q3 - q.q1)) AS cnt
+FROM (SELECT count(DISTINCT {x}) AS distinct_n, quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.75) AS q3 FROM c5) q"""
+            )
+            bw.append(f"coalesce(bool_or(column_name = '{c}' AND ok), FALSE) AS ok_{c}, max(lo) FILTER (WHERE column_name = '{c}') AS lo_{c}, max(hi) FILTER (WHERE column_name = '{c}') AS hi_{c}")
+            caps.append(f"CASE WHEN bw.ok_{c} THEN least(greatest({x}, bw.lo_{c}), bw.hi_{c}) ELSE {x} END AS {c}")
+        else:
+            caps.append(c)
+    hcs, tops, rsel, rcount = [], [], [], []
+    for c, st in keep:
+        if st == "string" and c != target:
+            hcs.append(
+                f"""(count(DISTINCT {c}) > 50 AND count(DISTINCT {c}) / greatest(count({c}), 1) >= 0.6
+   AND NOT (count({c}) >= 8 AND coalesce((SELECT avg(CASE WHEN {date_ok('v')} THEN 1.0 ELSE 0.0 END)
+        FROM (SELECT {c} AS v FROM c6 WHERE {c} IS NOT NULL ORDER BY {c} LIMIT 60) t), 0) >= 0.8)) AS hc_{c}"""
+            )
+            tops.append(f"top_{c} AS MATERIALIZED (SELECT {c} AS v, count(*) AS n FROM c6 WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 25)")
+            rare = f"hc.hc_{c} AND {c} IS NOT NULL AND {c} NOT IN (SELECT v FROM top_{c})"
+            rsel.append(f"CASE WHEN {rare} THEN '__rare__' ELSE {c} END AS {c}")
+            rcount.append(f"count(*) FILTER (WHERE {rare})")
+        else:
+            rsel.append(c)
+    ctes = [
+        f"c0 AS MATERIALIZED ({source_sql})",
+        "c1 AS MATERIALIZED (SELECT DISTINCT * FROM c0)",
+        f"c2 AS MATERIALIZED (SELECT * FROM c1 WHERE {target} IS NOT NULL)",
+        f"c4 AS MATERIALIZED (SELECT {', '.join(c for c, _ in keep)} FROM c2)",
+        f"fills AS MATERIALIZED (SELECT {', '.join(fills) or '1 AS none'})",
+        f"c5 AS MATERIALIZED (SELECT {', '.join(fsel)} FROM c4, fills)",
+        "b AS MATERIALIZED (SELECT *, distinct_n >= 8 AND iqr <> 0 AND cnt > 0 AS ok FROM ("
+        + (" UNION ALL ".join(bparts) or "SELECT NULL AS column_name, 0 AS distinct_n, 0.0 AS lo, 0.0 AS hi, 0.0 AS iqr, 0 AS cnt") + ") bb)",
+        f"bw AS MATERIALIZED (SELECT {', '.join(bw) or '1 AS none'} FROM b)",
+        f"c6 AS MATERIALIZED (SELECT {', '.join(caps)} FROM c5, bw)",
+        f"hc AS MATERIALIZED (SELECT {', '.join(hcs) or '1 AS none'} FROM c6)",
+        *tops,
+        f"c7 AS MATERIALIZED (SELECT {', '.join(rsel)} FROM c6, hc)",
+        f"rc AS MATERIALIZED (SELECT {' + '.join(rcount) or '0'} AS rare FROM c6, hc)",
+    ]
+    return "WITH " + ",\n".join(ctes) + "\n", keep
+
+
+def cleaning_summary_sql(source_sql: str, cols, target: str, drop: list[str], order_by: str) -> str:
+    chain, keep = cleaning_chain_sql(source_sql, cols, target, drop)
+    before = quality_ctes("SELECT * FROM c0", cols, order_by) + SUMMARY_SELECT
+    after = quality_ctes("SELECT * FROM c7", keep, keep[0][0]) + SUMMARY_SELECT
+    miss = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c, _ in keep if c != target)
+    return chain + f"""SELECT
+  CAST((SELECT count(*) FROM c0) AS BIGINT) AS before_rows,
+  CAST((SELECT count(*) FROM c7) AS BIGINT) AS after_rows,
+  CAST({len(cols)} AS BIGINT) AS before_columns, CAST({len(keep)} AS BIGINT) AS after_columns,
+  (SELECT score FROM ({before}) x) AS before_score, (SELECT score FROM ({after}) x) AS after_score,
+  (SELECT issue_count FROM ({before}) x) AS before_issue_count, (SELECT issue_count FROM ({after}) x) AS after_issue_count,
+  CAST((SELECT count(*) FROM c0) - (SELECT count(*) FROM c2) AS BIGINT) AS rows_removed,
+  CAST({len(drop)} AS BIGINT) AS columns_removed,
+  CAST((SELECT {miss or '0'} FROM c4) AS BIGINT) AS values_imputed,
+  CAST((SELECT coalesce(sum(cnt), 0) FROM b WHERE ok) AS BIGINT) AS values_capped,
+  CAST((SELECT rare FROM rc) AS BIGINT) AS rare_values_grouped"""
+
+
+def cleaned_profile_sql(source_sql: str, cols, target: str, drop: list[str]) -> str:
+    chain, keep = cleaning_chain_sql(source_sql, cols, target, drop)
+    return chain + profile_sql("c7", source="c7", cols=keep)

@@ -1,3 +1,3 @@
 """Query definitions, grouped by operator family."""
 
-from tabsmith.query_defs import profiling, quality  # noqa: F401
+from tabsmith.query_defs import cleaning, profiling, quality  # noqa: F401

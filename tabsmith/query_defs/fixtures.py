@@ -16,6 +16,7 @@ def lineitem_defects(spark, d) -> DataFrame:
     identifier column."""
     li = T(spark, d, "lineitem")
     k = F.col("l_orderkey")
+    line_id = ((k * 2000 + F.col("l_partkey")) * 100 + F.col("l_suppkey")) * 8 + F.col("l_linenumber")
     copies = F.explode(F.sequence(F.lit(1), F.when(k % 13 == 0, F.lit(2)).otherwise(F.lit(1))))
     return li.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
@@ -23,8 +24,8 @@ def lineitem_defects(spark, d) -> DataFrame:
         "l_extendedprice", "l_discount",
         F.when(k % 3 == 0, F.lit(None)).otherwise(F.col("l_tax")).alias("l_tax"),
         "l_returnflag", "l_linestatus", "l_shipdate",
-        F.concat(F.lit("R"), (k * 8 + F.col("l_linenumber")).cast("string")).alias("ship_ref"),
+        F.concat(F.lit("R"), line_id.cast("string")).alias("ship_ref"),
         F.lit("web").alias("channel"),
-        (k * 8 + F.col("l_linenumber")).alias("line_id"),
+        line_id.alias("line_id"),
         copies.alias("_copy"),
     ).drop("_copy")
