@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,17 +58,23 @@ def running_sum(
         .orderBy(*order_cols)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = ranged.withColumn("_local", F.sum("_w").over(piece_window))
+    # Both branches below must see the same partition ids (one range exchange,
+    # one AQE read layout), so the numbered pieces are persisted once and both
+    # the row side and the piece totals are read from those blocks. Lost blocks
+    # are recomputed through the same shuffle dependency, hence the same ids.
+    local = ranged.withColumn("_local", F.sum("_w").over(piece_window)).persist(StorageLevel.MEMORY_AND_DISK)
 
-    pieces = ranged.groupBy("_pid", *groups).agg(F.sum("_w").alias("_piece"))
+    pieces = local.groupBy("_pid", *groups).agg(F.max("_local").alias("_piece"))
     earlier = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    renamed = [f"_og{i}" for i in range(len(groups))]
     offsets = pieces.select(
-        "_pid", *groups, F.coalesce(F.sum("_piece").over(earlier), F.lit(0)).alias("_offset")
-    )
-    cond = [local["_pid"] == offsets["_pid"]] + [local[g].eqNullSafe(offsets[g]) for g in groups]
-    joined = local.join(offsets, cond, "inner").select(
-        local["*"], offsets["_offset"]
+        F.col("_pid").alias("_opid"),
+        *[F.col(g).alias(r) for g, r in zip(groups, renamed)],
+        F.coalesce(F.sum("_piece").over(earlier), F.lit(0)).alias("_offset"),
     )
+    # distinct names on both sides: the two frames share lineage (self-join)
+    cond = [F.col("_pid") == F.col("_opid")] + [F.col(g).eqNullSafe(F.col(r)) for g, r in zip(groups, renamed)]
+    joined = local.join(offsets, cond, "inner").drop("_opid", *renamed)
     return joined.withColumn(out, F.col("_local") + F.col("_offset")).drop("_w", "_pid", "_local", "_offset")
 
 
