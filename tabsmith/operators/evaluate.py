@@ -143,7 +143,9 @@ def leakage_scan(df: DataFrame, features: list[str], target: str, problem_type:
     for i, c in enumerate(features):
         x = _q(c)
         both = x.isNotNull() & y.isNotNull()
-        xn = x.try_cast("double")
+        dt = df.schema[c].dataType
+        xn = F.unix_micros(x.cast("timestamp")).cast("double") if is_temporal_type(dt) else (
+            x.cast("double") if is_numeric_type(dt) else x.try_cast("double"))
         pair = xn.isNotNull() & yenc.isNotNull()
         a, b = F.when(pair, xn), F.when(pair, yenc)
         aggs += [
