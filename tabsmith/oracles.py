@@ -397,3 +397,9 @@ def cleaning_summary_sql(source_sql: str, cols, target: str, drop: list[str], or
 def cleaned_profile_sql(source_sql: str, cols, target: str, drop: list[str]) -> str:
     chain, keep = cleaning_chain_sql(source_sql, cols, target, drop)
     return chain + profile_sql("c7", source="c7", cols=keep)
+
+
+def spark_round(expr: str, digits: int) -> str:
+    """Half-up rounding of a double's shortest decimal form (what Spark's
+    ``round`` does), spelled for DuckDB, whose ``round`` works on the binary value."""
+    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 12)), {digits}) AS DOUBLE)"
