@@ -173,3 +173,54 @@ def registry_stats(spark, d):
 
 
 oracle("registry_statistics_orders", f"SELECT problem_type, CAST(count(*) AS BIGINT) AS models FROM ({MODELS_SQL}) m GROUP BY 1")
+
+
+PROMOTED_AT = "2024-02-01 00:00:00"
+
+
+@query("promotion_merge_orders")
+def promotion_merge(spark, d):
+    m = models_registry(spark, d).filter(F.col("rank_score").isNotNull())
+    current = promotions_registry(spark, d).withColumn("promoted_at", F.lit(None).cast("timestamp")).withColumn(
+        "replaced_at", F.lit(None).cast("timestamp"))
+    latest = m.groupBy(*MO.CHAMPION_KEYS).agg(F.max_by("model_id", F.struct("created_at", "model_id")).alias("model_id"))
+    merged = MO.promote(current, latest, F.lit(PROMOTED_AT).cast("timestamp"))
+    return merged.select(*MO.CHAMPION_KEYS, "model_id", "status", F.col("replaced_at").isNotNull().alias("replaced"))
+
+
+oracle("promotion_merge_orders", f"""WITH m AS ({MODELS_SQL}), s AS (SELECT * FROM m WHERE rank_score IS NOT NULL),
+p AS (SELECT target_column, problem_type, primary_metric, arg_min(model_id, (created_at, model_id)) AS model_id FROM s GROUP BY 1, 2, 3),
+i AS (SELECT target_column, problem_type, primary_metric, arg_max(model_id, (created_at, model_id)) AS model_id FROM s GROUP BY 1, 2, 3)
+SELECT p.target_column, p.problem_type, p.primary_metric, p.model_id,
+  CASE WHEN i.model_id IS NOT NULL THEN 'replaced' ELSE 'active' END AS status, i.model_id IS NOT NULL AS replaced
+FROM p LEFT JOIN i ON p.target_column = i.target_column AND p.problem_type = i.problem_type AND p.primary_metric = i.primary_metric
+UNION ALL
+SELECT target_column, problem_type, primary_metric, model_id, 'active', FALSE FROM i""")
+
+
+@query("best_model_per_dataset_orders")
+def best_model(spark, d):
+    """The best-scoring model of each dataset (newest on ties)."""
+    m = models_registry(spark, d).filter(F.col("rank_score").isNotNull())
+    return m.groupBy("dataset_id").agg(
+        F.max_by("model_id", F.struct("rank_score", "created_at", "model_id")).alias("model_id"),
+        F.max("rank_score").alias("rank_score"),
+        F.count(F.lit(1)).cast("long").alias("scored_models"),
+    )
+
+
+oracle("best_model_per_dataset_orders", f"""SELECT dataset_id, arg_max(model_id, (rank_score, created_at, model_id)) AS model_id,
+  max(rank_score) AS rank_score, CAST(count(*) AS BIGINT) AS scored_models FROM ({MODELS_SQL}) m WHERE rank_score IS NOT NULL GROUP BY 1""")
+
+
+@query("snapshot_retention_events")
+def snapshot_retention(spark, d):
+    """Keep the newest 40 snapshots of every model (per-key retention)."""
+    from tabsmith.sources.io import retained
+
+    kept = retained(snapshots_registry(spark, d), 40, order_col="created_at", key="model_id")
+    return kept.groupBy("model_id").agg(F.count(F.lit(1)).cast("long").alias("kept"), F.min("created_at").alias("oldest_kept"))
+
+
+oracle("snapshot_retention_events", """WITH r AS (SELECT user_id AS model_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events)
+SELECT model_id, CAST(count(*) AS BIGINT) AS kept, min(ts) AS oldest_kept FROM r WHERE rn <= 40 GROUP BY 1""")
