@@ -127,9 +127,21 @@ class QualityReport:
 def column_flags(df: DataFrame, order_by: str | None = None, target: str | None = None) -> DataFrame:
     """Per column: missing, unique ratio, constant / id-like / high-cardinality flags."""
     freq = frequency_table(df)
-    summ = column_summary(df, freq=freq)
+    summ = column_summary(df, freq=freq).cache()
     id_names = [c for c in df.columns if is_id_like_name(c)]
-    pdt = probably_datetime(df, order_by)
+    # The date-shape sample only decides between "high-cardinality" and "date", so
+    # it runs only for text columns that pass the cardinality test (a plan decision
+    # over a frame with one row per column).
+    candidates = [
+        r["column_name"]
+        for r in summ.select("column_name", "storage", "unique_count", "non_null").collect()
+        if r["storage"] not in ("numeric", "temporal") and r["unique_count"] > 50
+        and r["unique_count"] / max(r["non_null"], 1) >= 0.6
+    ]
+    pdt = probably_datetime(df.select(*[F.col(f"`{c}`") for c in candidates] + ([F.col(f"`{order_by}`")] if order_by and order_by not in candidates else [])),
+                            order_by) if candidates else df.sparkSession.createDataFrame([], "column_name string, probably_datetime boolean")
+    if candidates and order_by and order_by not in candidates:
+        pdt = pdt.filter(F.col("column_name") != order_by)
     ratio = F.col("unique_count") / F.greatest(F.col("non_null"), F.lit(1))
     flags = (
         summ.join(F.broadcast(pdt), "column_name", "left")
