@@ -6,6 +6,10 @@ adds them when the folder is there.
 
 from __future__ import annotations
 
+import functools
+
+from tabsmith.llm.common import ship_code
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -14,7 +18,12 @@ def query(name: str, oracle: str | None = None):
     """Register ``fn(spark, sf_dir)`` under ``name``, with its DuckDB twin if SQL has one."""
 
     def register(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            ship_code(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if oracle:
             ORACLES[name] = oracle
         return fn

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +19,22 @@ from pyspark.sql import functions as F
 PIECE_BYTES = 2 << 20
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, for sessions that were started without ``--py-files``."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = pathlib.Path(__file__).resolve().parents[2]
+        target = os.path.join(tempfile.mkdtemp(prefix="tabsmith-code-"), "tabsmith_code.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted((root / "tabsmith").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        sc.addPyFile(target)
+        _SHIPPED.add(sc.applicationId)
+
+
+_SHIPPED: set[str] = set()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
