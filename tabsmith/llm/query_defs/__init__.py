@@ -1 +1 @@
-from tabsmith.llm.query_defs import langid, sharding  # noqa: F401
+from tabsmith.llm.query_defs import langid, sharding, toxicity  # noqa: F401
