@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text of a Python worker's unit of work. Arrow batches are cut at row bounds after about so many bytes.
@@ -76,6 +76,24 @@ def table_count(n_bytes: int, per: int) -> int:
     return max(1, -(-int(n_bytes or 0) // per))
 
 
+def bounded_sample(rows: DataFrame, n: int, seed: int, keys: list[str], group: str | None = None) -> DataFrame:
+    """The ``n`` distinct rows (of each ``group``) that a seeded hash of ``keys`` puts first.
+
+    A share is cut off by the hash before rows are ranked, so that about 2n rows meet in a task, whatever the
+    table's size; repeated keys count once.
+    """
+    names = [group] if group else []
+    place = F.xxhash64(F.lit(seed), *keys)
+    share = F.pmod(place, F.lit(1 << 30)) < (F.lit(float(1 << 30)) * (2 * n + 100) / F.col("__n"))
+    if group:
+        joined = rows.join(F.broadcast(rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))), group)  # one row a group
+    else:
+        joined = rows.withColumn("__n", F.lit(rows.count()))
+    first = Window.partitionBy(*names, *([] if group else [F.lit(0)])).orderBy(place, *keys)
+    picked = joined.where(share).drop("__n").dropDuplicates([*names, *keys])
+    return picked.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= n).drop("__rank")
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with about ``limit`` bytes of text each; rows stay whole."""
     for batch in batches:

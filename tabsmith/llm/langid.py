@@ -6,8 +6,8 @@ context the language has seen, count / (n + d); for a byte unseen there, the esc
 next shorter context, down to 1 / 256 (n: bytes seen in the context, d: distinct ones). The language with the
 smallest total code length over the whole text wins; ties go to the smaller name.
 
-Training takes a bounded sample: at most ``SAMPLE_DOCS`` documents a language, the first by a seeded hash,
-of at most ``SAMPLE_TEXT`` bytes each. Prediction takes every byte of every text, in vectorised batches.
+Training takes a bounded sample: at most ``SAMPLE_DOCS`` different texts a language, the first by a seeded
+hash, of at most ``SAMPLE_TEXT`` bytes each. Prediction takes every byte of every text, in vectorised batches.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; so is everything if nothing could
 be learned. Rows are never dropped, repeated ids give repeated rows.
@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import pieces, utf8, worker_cache
+from tabsmith.llm.common import bounded_sample, pieces, utf8, worker_cache
 
 ORDER = 4
 SAMPLE_DOCS = 1000
@@ -127,8 +127,7 @@ def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_text: int = SAM
     """Learn from ``train`` (text, lang); rows without text, letter or lang teach nothing."""
     rows = train.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") <= sample_text) & F.col("text").rlike(r"\p{L}"))
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(11), "text"), "text")
-    rows = rows.withColumn("rank", F.row_number().over(pick)).where(F.col("rank") <= sample_docs).select("lang", "text")
+    rows = bounded_sample(rows, sample_docs, 11, ["text"], "lang")
 
     def count(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(parts))

@@ -1 +1 @@
-from tabsmith.llm.query_defs import langid, neardup, sharding, toxicity  # noqa: F401
+from tabsmith.llm.query_defs import decontaminate, langid, neardup, sharding, toxicity  # noqa: F401
