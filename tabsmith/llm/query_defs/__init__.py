@@ -1 +1 @@
-from tabsmith.llm.query_defs import decontaminate, langid, neardup, sharding, tokens, toxicity  # noqa: F401
+from tabsmith.llm.query_defs import ctw, decontaminate, langid, neardup, sharding, tokens, toxicity  # noqa: F401
