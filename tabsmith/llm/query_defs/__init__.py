@@ -1 +1 @@
-from tabsmith.llm.query_defs import ann, ctw, decontaminate, langid, neardup, sharding, tokens, toxicity  # noqa: F401
+from tabsmith.llm.query_defs import ann, ctw, decontaminate, langid, license, neardup, sharding, tokens, toxicity  # noqa: F401
