@@ -10,7 +10,7 @@
 
 Words are runs of ASCII letters, digits and bytes from 0x80, in lower case. Edge cases: null and empty texts
 match nothing; items with fewer than ``SEED_WORDS`` words have no seed and match nothing; repeated rows are
-judged one by one, and equal (doc_id, item_id) give one row; equal scores go to the earlier passage. An empty
+judged one by one, and rows equal in id and text give one row an item; equal scores go to the earlier passage. An empty
 table on either side gives no rows. Extra columns are not read.
 """
 
@@ -106,9 +106,9 @@ def seed_counts(docs: DataFrame, known: Filter) -> DataFrame:
 
 
 def passages(docs: DataFrame, rare: Filter, reach: int) -> DataFrame:
-    """pid, doc_id, start, words, seeds: runs of words with rare seeds and ``reach`` words to either side."""
+    """pid, doc_id, text_key, start, words, seeds: runs of words with rare seeds and ``reach`` words to either side."""
     held = docs.sparkSession.sparkContext.broadcast(rare)  # FILTER_BITS
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    source = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     longest = 8 * reach
 
     def cut(words: np.ndarray, seeds: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -136,11 +136,11 @@ def passages(docs: DataFrame, rare: Filter, reach: int) -> DataFrame:
             if out["row"]:
                 yield pa.RecordBatch.from_pydict({
                     "pid": [uuid.uuid4().bytes for _ in out["row"]], "doc_id": part.column("doc_id").take(pa.array(out["row"])),
-                    "start": pa.array(out["start"], pa.int64()), "words": pa.array(out["words"], pa.list_(pa.int64())), "seeds": pa.array(out["seeds"], pa.list_(pa.int64())),
+                    "text_key": part.column("text_key").take(pa.array(out["row"])), "start": pa.array(out["start"], pa.int64()), "words": pa.array(out["words"], pa.list_(pa.int64())), "seeds": pa.array(out["seeds"], pa.list_(pa.int64())),
                 })
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"pid binary, doc_id {kind}, start long, words array<long>, seeds array<long>")
+    return source.mapInArrow(run, f"pid binary, doc_id {kind}, text_key long, start long, words array<long>, seeds array<long>")
 
 
 def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,7 +189,10 @@ def _table(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, score, net_matches, start, end (words of the document) of each copy found."""
+    """doc_id, text_key, item_id, score, net_matches, start, end (words of the document) of each copy found.
+
+    ``text_key`` (Spark's xxhash64 of the text) tells rows apart that share an id.
+    """
     items = written(item_seeds(benchmark), "items")
     seeds = items.select("item_id", F.explode("seeds").alias("seed")).distinct()
     counts = seed_counts(docs, make_filter(seeds))
@@ -199,8 +202,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     longest = items.agg(F.max(F.size("words"))).first()[0] or 0
     found = written(passages(docs, make_filter(rare), int(1.5 * longest)), "passages")
     pairs = found.select("pid", F.explode("seeds").alias("seed")).join(rare, "seed").select("pid", "item_id").distinct()
-    sides = pairs.join(found.select("pid", "doc_id", "start", "words"), "pid").join(items.select("item_id", F.col("words").alias("item")), "item_id")
-    sides = sides.select("doc_id", "item_id", "start", "words", "item")
+    sides = pairs.join(found.select("pid", "doc_id", "text_key", "start", "words"), "pid").join(items.select("item_id", F.col("words").alias("item")), "item_id")
+    sides = sides.select("doc_id", "text_key", "item_id", "start", "words", "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,12 +212,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             own = np.array([MATCH * len(x) for x in item])
             start = batch.column("start").to_numpy()
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "item_id": batch.column("item_id"), "score": score / own, "net_matches": score // MATCH,
+                "doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "item_id": batch.column("item_id"), "score": score / own, "net_matches": score // MATCH,
                 "start": start + first, "end": start + last,
             })
 
-    kinds = [f"{n} {sides.schema[n].dataType.simpleString()}" for n in ("doc_id", "item_id")]
+    kinds = [f"{n} {sides.schema[n].dataType.simpleString()}" for n in ("doc_id", "text_key", "item_id")]
     scored = sides.mapInArrow(run, f"{', '.join(kinds)}, score double, net_matches long, start long, end long")
     scored = scored.where((F.col("score") >= threshold) & (F.col("net_matches") >= LEAST_MATCHES))
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", -F.col("start"), "net_matches", "end")).alias("m"))
-    return best.select("doc_id", "item_id", "m.score", "m.net_matches", (-F.col("m.col2")).alias("start"), "m.end")
+    best = scored.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("score", -F.col("start"), "net_matches", "end")).alias("m"))
+    return best.select("doc_id", "text_key", "item_id", "m.score", "m.net_matches", (-F.col("m.col2")).alias("start"), "m.end")

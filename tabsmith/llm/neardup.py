@@ -201,7 +201,11 @@ def _rest(members: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable) and kept of each document."""
+    """doc_id, n_shingles, component_id (least doc_id reachable), kept, representative and text_key of each document.
+
+    ``representative`` marks the rows that stand for their component even where ids are null or repeated: those
+    of the least (id, text), and every row with an empty set.
+    """
     found = written(describe(docs, rule), "signatures")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     classes = written(
@@ -222,11 +226,14 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     more = confirmed(_rest(members.select("key", "cls", "n_shingles", "sketch"), roots, rule), classes, docs, rule)
     if not more.isEmpty():
         roots = components(links.union(more))
-    labels = classes.select("cls", "doc_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    labels = classes.select("cls", "doc_id", "text_key").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     labels = labels.withColumn("root", F.coalesce("root", "cls"))
-    least = labels.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = labels.join(least, "root").select("cls", "component_id")
-    out = found.select("doc_id", "n_shingles", "cls").join(labels, "cls", "left")
-    out = out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    least = labels.groupBy("root").agg(F.min(first).alias("first"))
+    labels = labels.join(least, "root").select("cls", "first")
+    out = found.select("doc_id", "text_key", "n_shingles", "cls").join(labels, "cls", "left")
+    alone = F.col("cls").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    stands = alone | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
-    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    out = out.withColumn("component_id", component).withColumn("representative", stands)
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "representative", "text_key")
