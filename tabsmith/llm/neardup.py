@@ -7,9 +7,9 @@
    never all pairs. The population count of the XOR of two odd sketches estimates the similarity; what is
    clearly below the threshold goes, the rest is confirmed on the full sets. Confirmed links give components.
 3. Buckets that still hold several components are compared in full, in blocks: each class outside the
-   leader's component against every class of another component. What the sketches keep is confirmed too. So
-   a link is lost only if its two classes share no band key, a chance of at most ``MISS`` at the threshold
-   and less above it.
+   leader's component against every class of another component, on the full sets where the sketches leave a
+   doubt. So a link is lost only if its two classes share no band key, a chance of at most ``MISS`` at the
+   threshold and less above it. Only links that join components leave a block, never all pairs.
 
 Edge cases: a text with 1 to n - 1 words is one shingle; null, empty and blank texts have an empty set and
 link with nothing; a null id is no label: its component is the least id of the others, null if there is none,
@@ -138,15 +138,19 @@ def _plausible(rule: Rule) -> Column:
     return (small * rule.den >= large * rule.num) & (_flips() <= rule.sketch_flips)
 
 
+def texts_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cls, text: a text of each class in ``wanted`` (cls)."""
+    wanted = classes.join(wanted.select("cls").distinct(), "cls").select("cls", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    source = docs.select(F.col("doc_id").alias("__doc"), F.col("text").cast("string").alias("text"))
+    same = F.col("__doc").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    return source.join(wanted, same).groupBy("cls").agg(F.min("text").alias("text"))
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """Those of ``pairs`` (u, v; classes) whose full shingle sets reach the threshold."""
     pairs = written(pairs.select("u", "v").distinct(), "candidates")
-    wanted = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
-    wanted = classes.join(wanted, "cls").select("cls", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    source = docs.select(F.col("doc_id").alias("__doc"), F.col("text").cast("string").alias("text"))
-    same = F.col("__doc").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
-    texts = source.join(wanted, same).groupBy("cls").agg(F.min("text").alias("text"))
-    texts = written(texts, "texts")
+    both = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls")))
+    texts = written(texts_of(both, classes, docs), "texts")
     sides = pairs.join(texts.select(F.col("cls").alias("u"), F.col("text").alias("text_u")), "u")
     sides = sides.join(texts.select(F.col("cls").alias("v"), F.col("text").alias("text_v")), "v")
 
@@ -164,8 +168,21 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule)
     return written(sides.select("u", "v", "text_u", "text_v").mapInArrow(run, "u binary, v binary"), "links")
 
 
-def _rest(members: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame:
-    """Plausible pairs between different components in buckets that hold several of them."""
+def full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """cls, hashes: the packed shingle set of each class in ``wanted``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches):
+            hashes, bounds = sets_of(part.column("text"), rule.words)
+            packed = [hashes[a:b].astype("<u8").tobytes() for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_pydict({"cls": part.column("cls"), "hashes": pa.array(packed, pa.binary())})
+
+    return texts_of(wanted, classes, docs).mapInArrow(run, "cls binary, hashes binary")
+
+
+def _rest(members: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """Links between different components in buckets that hold several of them; those that join nothing new
+    within a block are left out, so a block gives fewer links than it has rows."""
     held = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     buckets = held.groupBy("key").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", "cls").alias("main"), F.count("cls").alias("n")
@@ -176,28 +193,47 @@ def _rest(members: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     small_blocks = F.ceil(F.col("n_small") / BLOCK).cast("int")
     place = F.xxhash64(F.lit(3), "cls")
-    held = held.join(counts, "key")
+    sets = full_sets(held, classes, docs, rule)
+    held = held.join(sets, "cls").join(counts, "key")
     each = held.withColumn("a", F.explode(F.sequence(F.lit(0), small_blocks - 1))).withColumn("b", F.pmod(place, blocks).cast("int"))
-    few = held.where(F.col("root") != F.col("main")).withColumn("a", F.pmod(place, small_blocks).cast("int"))
+    few = held.where((F.col("root") != F.col("main")) & (blocks > 1)).withColumn("a", F.pmod(place, small_blocks).cast("int"))
     few = few.withColumn("b", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    columns = ["key", "a", "b", "cls", "root", "n_shingles", "sketch"]
-    both = each.select(*columns, F.lit(False).alias("few")).union(few.select(*columns, F.lit(True).alias("few")))
+    columns = ["key", "a", "b", "cls", "root", "sketch", "hashes"]
+    # with one block, the rows outside of the main component are both sides
+    one = (blocks == 1) & (F.col("root") != F.col("main"))
+    both = each.select(*columns, F.when(one, 2).otherwise(0).alias("few")).union(few.select(*columns, F.lit(1).alias("few")))
 
     def compare(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(parts))
         sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
-        size, root = table["n_shingles"].to_numpy(), np.array(table["root"].to_pylist(), object)
-        cls = np.array(table["cls"].to_pylist(), object)
-        few = table["few"].to_numpy(zero_copy_only=False)
-        rest = np.flatnonzero(~few)
-        for i in np.flatnonzero(few):
-            flips = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1)
-            fits = np.minimum(size[rest], size[i]) * rule.den >= np.maximum(size[rest], size[i]) * rule.num
-            j = rest[(flips <= rule.sketch_flips) & fits & (root[rest] != root[i])]
-            if len(j):
-                yield pa.RecordBatch.from_pydict({"u": pa.array([min(cls[i], x) for x in cls[j]], pa.binary()), "v": pa.array([max(cls[i], x) for x in cls[j]], pa.binary())})
-
-    return both.groupBy("key", "a", "b").applyInArrow(compare, "u binary, v binary").distinct()
+        sets = [np.frombuffer(x, "<u8") for x in table["hashes"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        cls = table["cls"].to_pylist()
+        _, root = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)
+        side = table["few"].to_numpy()
+        rest, mask = np.flatnonzero(side != 1), np.zeros(len(words), bool)
+        links = []
+        for i in np.flatnonzero(side > 0):
+            j = rest[root[rest] != root[i]]
+            j = j[np.minimum(size[j], size[i]) * rule.den >= np.maximum(size[j], size[i]) * rule.num]
+            j = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1) <= rule.sketch_flips]
+            if not len(j):
+                continue
+            mask[ids[bounds[i] : bounds[i + 1]]] = True
+            at = np.concatenate([[0], np.cumsum(size[j])])
+            own = ids[np.repeat(bounds[j] - at[:-1], size[j]) + np.arange(at[-1])]
+            common = np.add.reduceat(mask[own].astype(np.int64), at[:-1])
+            mask[ids[bounds[i] : bounds[i + 1]]] = False
+            for x in j[rule.den * common >= rule.num * (size[i] + size[j] - common)]:
+                if root[x] != root[i]:
+                    links.append((cls[i], cls[x]))
+                    root[root == root[x]] = root[i]
+        if links:
+            yield pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in links], pa.binary()), "v": pa.array([v for _, v in links], pa.binary())})
+
+    return both.groupBy("key", "a", "b").applyInArrow(compare, "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -223,7 +259,7 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     pairs = pairs.dropDuplicates(["leader", "u"]).join(side, "leader").where(_plausible(rule))
     links = confirmed(pairs.select("u", F.col("leader").alias("v")), classes, docs, rule)
     roots = components(links)
-    more = confirmed(_rest(members.select("key", "cls", "n_shingles", "sketch"), roots, rule), classes, docs, rule)
+    more = written(_rest(members.select("key", "cls", "sketch"), roots, classes, docs, rule), "links")
     if not more.isEmpty():
         roots = components(links.union(more))
     labels = classes.select("cls", "doc_id", "text_key").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
