@@ -151,18 +151,17 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     while len(order):
         n = np.searchsorted(np.maximum.accumulate([len(b[i]) for i in order]) * np.arange(1, len(order) + 1), CELLS, side="right")
         take, order = order[: max(1, n)], order[max(1, n) :]
-        for back in (False, True):  # the second run, on reversed words, finds where the alignment begins
-            step = slice(None, None, -1 if back else 1)
-            items, texts = [a[i][step] for i in take], [b[i][step] for i in take]
-            best, end = _table(items, texts)
-            span[take, 0 if back else 1] = [len(t) - e for t, e in zip(texts, end)] if back else end
+        items, texts = [a[i] for i in take], [b[i] for i in take]
+        best, end = _table(items, texts)
+        # on reversed words, up to that end, the best alignment ends where it begins
+        _, begin = _table([x[::-1] for x in items], [t[:e][::-1] for t, e in zip(texts, end)])
+        span[take, 0], span[take, 1] = end - begin, end
         score[take] = best
-    span[:, 0] = np.minimum(span[:, 0], span[:, 1])
     return score, span[:, 0], span[:, 1]
 
 
 def _table(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    rows, width = max(map(len, items)), max(map(len, texts))
+    rows, width = max(map(len, items)), max(1, *map(len, texts))
     text = np.zeros((len(texts), width), np.int64)
     inside = np.zeros((len(texts), width), bool)
     for i, t in enumerate(texts):
