@@ -3,13 +3,14 @@ and trend (T5). Each chart is one small aggregate over the (filtered) frame."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.functions.scalar import lenient_timestamp, month_key
+from tabsmith.functions.scalar import is_temporal_type, lenient_timestamp, month_key
 from tabsmith.operators.freq import frequency_table
 from tabsmith.operators.profile import column_summary
 from tabsmith.operators.ranking import top_k_within
@@ -20,35 +21,36 @@ def _q(c: str):
 
 
 # ------------------------------------------------------------------ filters
-def is_month_value(v) -> bool:
-    s = str(v)
-    return len(s) == 7 and s[4] == "-"
+_MONTH = re.compile(r"\d{4}-(0[1-9]|1[0-2])")
+
+
+def _condition(df: DataFrame, column: str, value: str, kind: str | None):
+    """The test of one filter: a month range on a date column, else equality with the value's text."""
+    dt = df.schema[column].dataType
+    is_month = _MONTH.fullmatch(value) and (kind == "date" or (kind is None and is_temporal_type(dt)))
+    if is_month:
+        start = F.try_to_timestamp(F.lit(f"{value}-01"), F.lit("yyyy-MM-dd"))
+        ts = lenient_timestamp(_q(column), dt)
+        return (ts >= start) & (ts < F.add_months(start, 1).cast("timestamp"))
+    if isinstance(dt, T.StringType):
+        return _q(column) == F.lit(value)
+    if isinstance(dt, T.BooleanType):
+        return _q(column) == F.lit(value.lower()).try_cast("boolean")
+    # cast the literal to the column type so the comparison can be pushed down
+    return (_q(column) == F.lit(value).try_cast(dt)) & (_q(column).cast("string") == F.lit(value))
 
 
 def apply_filters(df: DataFrame, filters: dict | None, kinds: dict[str, str] | None = None) -> tuple[DataFrame, dict]:
-    """Conjunction of ``column == value`` (string compare) or, for a
-    ``YYYY-MM`` value on a date column, a month range. Unknown columns, nulls,
-    "" and "__all__" are ignored. The month test is a half-open timestamp range
-    so it reaches the Parquet scan as a pushed filter."""
-    active = {
-        c: v for c, v in (filters or {}).items() if c in df.columns and v is not None and str(v) not in ("", "__all__")
-    }
-    out = df
-    for c, v in active.items():
-        dt = df.schema[c].dataType
-        if is_month_value(v) and (kinds is None or kinds.get(c) == "date"):
-            start = F.to_timestamp(F.lit(f"{v}-01"), "yyyy-MM-dd")
-            end = F.add_months(start, 1).cast("timestamp")
-            ts = lenient_timestamp(_q(c), dt)
-            out = out.filter((ts >= start) & (ts < end))
-        else:
-            if isinstance(dt, T.StringType):
-                out = out.filter(_q(c) == F.lit(str(v)))
-            else:
-                # cast the literal to the column type so the comparison can be pushed down
-                lit = F.lit(str(v)).try_cast(dt)
-                out = out.filter((_q(c) == lit) & (_q(c).cast("string") == F.lit(str(v))))
-    return out, active
+    """Conjunction of ``column == value`` (compared as text) or, for a
+    ``YYYY-MM`` value on a date column, a month range. Without ``kinds`` the
+    column's type says whether it is a date. Unknown columns, nulls, "" and
+    "__all__" set no filter. The month test is a half-open timestamp range so it
+    reaches the Parquet scan as a pushed filter."""
+    texts = {name: "" if filters[name] is None else str(filters[name]) for name in (filters or ())}
+    active = {name: filters[name] for name in texts if texts[name] not in ("", "__all__") and name in df.columns}
+    for name in active:
+        df = df.filter(_condition(df, name, texts[name], (kinds or {}).get(name)))
+    return df, active
 
 
 # ------------------------------------------------------------------ KPIs
@@ -67,7 +69,7 @@ def kpis(df: DataFrame, source: DataFrame | None = None, numeric: list[str] | No
     total = source.agg(F.count(F.lit(1)).cast("double").alias("k1"))
     a = a.withColumn("_o", F.lit(1)).join(F.broadcast(total.withColumn("_o", F.lit(1))), "_o")
     labels = ["Active rows", "Total rows", "Total columns", "Missing cells"] + [f"Average {c}" for c in numeric[:2]]
-    vals = [F.col("k0"), F.col("k1"), F.lit(float(len(df.columns))), F.col("k3")] + [F.col(f"k{4 + i}") for i in range(len(numeric[:2]))]
+    vals = [F.col("k0"), F.col("k1"), F.lit(float(len(df.columns))), F.coalesce("k3", F.lit(0.0))] + [F.col(f"k{4 + i}") for i in range(len(numeric[:2]))]
     return a.select(
         F.inline(
             F.array(*[F.struct(F.lit(i).cast("long").alias("position"), F.lit(lbl).alias("label"), v.cast("double").alias("value"))
@@ -98,7 +100,9 @@ def histogram(df: DataFrame, column: str, bins: int = 8) -> DataFrame:
     empty bins kept. ``(bin, lower, upper, count)``."""
     x = _q(column).cast("double")
     vals = df.select(x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    st = vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count_distinct("x").alias("nd"))
+    # min(bins, distinct) is all that counts: bins distinct values are enough to know it
+    few = vals.distinct().limit(bins).agg(F.count("x").alias("nd"))
+    st = vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).withColumn("_o", F.lit(1)).join(F.broadcast(few.withColumn("_o", F.lit(1))), "_o").drop("_o")
     st = st.withColumn("nb", F.least(F.lit(bins), F.col("nd"))).withColumn("w", (F.col("hi") - F.col("lo")) / F.col("nb"))
     # st is a single row: broadcasting it is size-bounded.
     idx = F.when(F.col("w") == 0, F.lit(1)).otherwise(
@@ -110,7 +114,7 @@ def histogram(df: DataFrame, column: str, bins: int = 8) -> DataFrame:
         .groupBy(idx.alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    all_bins = st.select("lo", "w", F.explode(F.sequence(F.lit(1), F.col("nb").cast("int"))).alias("bin"))
+    all_bins = st.filter(F.col("nb") > 0).select("lo", "w", F.explode(F.sequence(F.lit(1), F.col("nb").cast("int"))).alias("bin"))
     return all_bins.join(counts, "bin", "left").select(
         F.col("bin").cast("long").alias("bin"),
         (F.col("lo") + (F.col("bin") - 1) * F.col("w")).alias("lower"),

@@ -9,10 +9,11 @@ independent of how the predictions were made.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.functions.scalar import is_numeric_type, is_temporal_type, lenient_timestamp, normalized_name
+from tabsmith.operators.freq import distinct_counts, frequency_table
 from tabsmith.operators.quantiles import exact_median_by_group
 from tabsmith.operators.ranking import row_number_within
 
@@ -101,24 +102,23 @@ def date_like_columns(df: DataFrame, columns: list[str] | None = None) -> DataFr
     """M2: temporal type, or non-numeric with >= 70% of all rows parsing and >= 3
     distinct dates. ``(column_name, is_date_like)``."""
     cols = columns or df.columns
-    aggs = []
-    for i, c in enumerate(cols):
-        dt = df.schema[c].dataType
-        ts = lenient_timestamp(_q(c), dt)
-        aggs += [F.avg(ts.isNotNull().cast("double")).alias(f"s{i}"), F.count_distinct(ts).alias(f"d{i}"),
-                 F.count(_q(c)).alias(f"n{i}")]
-    wide = df.agg(*aggs)
-    rows = []
-    for i, c in enumerate(cols):
-        dt = df.schema[c].dataType
-        if is_temporal_type(dt):
-            flag = F.lit(True)
-        elif is_numeric_type(dt):
-            flag = F.lit(False)
-        else:
-            flag = (F.col(f"n{i}") > 0) & (F.col(f"s{i}") >= 0.7) & (F.col(f"d{i}") >= 3)
-        rows.append(F.struct(F.lit(c).alias("column_name"), flag.alias("is_date_like")))
-    return wide.select(F.inline(F.array(*rows)))
+    types = {c: df.schema[c].dataType for c in cols}
+    texts = [c for c in cols if not (is_temporal_type(types[c]) or is_numeric_type(types[c]))]
+    fixed = [(c, is_temporal_type(types[c])) for c in cols if c not in texts]
+    spark = df.sparkSession
+    out = spark.createDataFrame(fixed, "column_name string, is_date_like boolean")
+    if not texts:
+        return out
+    # only parsed dates are shuffled, each column's distinct ones counted before they are counted again
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), lenient_timestamp(_q(c), types[c]).alias("ts")) for c in texts]))
+    dates = df.select(cells.alias("s")).select("s.*").filter(F.col("ts").isNotNull()).groupBy("column_name", "ts").agg(F.count(F.lit(1)).alias("n"))
+    parsed = dates.groupBy("column_name").agg(F.sum("n").alias("parsed"), F.count(F.lit(1)).alias("distinct_dates"))
+    names = spark.createDataFrame([(c,) for c in texts], "column_name string")
+    # one row on the right: the table's row count
+    rows = df.agg(F.count(F.lit(1)).alias("rows")).withColumn("_o", F.lit(1))
+    told = names.join(parsed, "column_name", "left").withColumn("_o", F.lit(1)).join(F.broadcast(rows), "_o")
+    flag = F.coalesce((F.col("parsed") >= 0.7 * F.col("rows")) & (F.col("distinct_dates") >= 3), F.lit(False))
+    return out.unionByName(told.select("column_name", flag.alias("is_date_like")))
 
 
 def leakage_scan(df: DataFrame, features: list[str], target: str, problem_type: str) -> DataFrame:
@@ -132,9 +132,9 @@ def leakage_scan(df: DataFrame, features: list[str], target: str, problem_type:
     # Classes encoded by sorted label order (only the sign differs from first-seen order).
     if problem_type == "classification":
         labels = df.select(ys.alias("l")).filter(F.col("l").isNotNull()).distinct()
-        enc = labels.withColumn("code", F.row_number().over(Window.orderBy("l")) - 1)
-        # labels: one row per class (bounded by the class count).
-        base = df.join(F.broadcast(enc), ys == F.col("l"), "left")
+        numbered = row_number_within(labels.withColumn("_all", F.lit(1)), ["_all"], [F.asc("l")], out="code")
+        enc = numbered.select("l", (F.col("code") - 1).alias("code"))
+        base = df.join(enc, ys == F.col("l"), "left")
         yenc = F.col("code").cast("double")
     else:
         base = df
@@ -152,9 +152,8 @@ def leakage_scan(df: DataFrame, features: list[str], target: str, problem_type:
             F.count(F.when(both, 1)).alias(f"n{i}"),
             F.avg(F.when(both, (x.cast("string") == ys).cast("double"))).alias(f"m{i}"),
             F.count(F.when(pair, 1)).alias(f"pn{i}"),
-            F.count_distinct(a).alias(f"pd{i}"),
+            (F.min(a) < F.max(a)).alias(f"pd{i}"),  # more than one value
             F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"r{i}"),
-            F.count_distinct(x).alias(f"u{i}"),
             F.count(x).alias(f"nn{i}"),
         ]
     wide = base.agg(*aggs)
@@ -165,16 +164,20 @@ def leakage_scan(df: DataFrame, features: list[str], target: str, problem_type:
             F.struct(
                 F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("match"),
                 F.col(f"pn{i}").alias("pn"), F.col(f"pd{i}").alias("pd"), F.col(f"r{i}").alias("r"),
-                (F.col(f"u{i}") / F.greatest(F.col(f"nn{i}"), F.lit(1))).alias("uratio"), F.lit(name_hit).alias("name_hit"),
+                F.col(f"nn{i}").alias("nn"), F.lit(name_hit).alias("name_hit"),
             )
         )
     per = wide.select(F.inline(F.array(*rows))).filter(F.col("n") >= 10)
+    # distinct counts come from one digest FREQ pass, not from a multi-distinct aggregate
+    unique = distinct_counts(frequency_table(df, features, digests=True))
+    per = per.join(F.broadcast(unique), "column_name", "left")
+    per = per.withColumn("uratio", F.coalesce("unique_count", F.lit(0)) / F.greatest(F.col("nn"), F.lit(1)))
     if problem_type == "classification":
         pur = category_purity(df, features, target)
         per = per.join(F.broadcast(pur), "column_name", "left")
     else:
         per = per.withColumn("purity", F.lit(None).cast("double"))
-    r_ok = (F.col("pn") >= 10) & (F.col("pd") > 1) & F.col("r").isNotNull() & ~F.isnan("r") & (F.abs("r") >= 0.98)
+    r_ok = (F.col("pn") >= 10) & F.col("pd") & F.col("r").isNotNull() & ~F.isnan("r") & (F.abs("r") >= 0.98)
     exact = F.col("match") >= 0.98
     pure = (F.lit(problem_type == "classification")) & (F.col("uratio") < 0.9) & (F.coalesce("purity", F.lit(0.0)) >= 0.98)
     high = exact | r_ok | pure

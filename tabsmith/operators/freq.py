@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,21 +60,33 @@ def _q(name: str):
     return F.col(f"`{name}`")
 
 
-def long_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column_name, value)`` with every value as canonical text; nulls dropped."""
+#: Characters up to which a text is its own key where only equality counts.
+SHORT_TEXT = 40
+
+
+def digest(c: Column) -> Column:
+    """128 bits of two independent hashes in place of a longer text."""
+    both = F.concat(F.lit("\u0001"), F.hex(F.xxhash64(c)), F.lit(":"), F.hex(F.xxhash64(F.lit(1), c)))
+    return F.when(F.length(c) > SHORT_TEXT, both).otherwise(c)
+
+
+def long_values(df: DataFrame, columns: list[str] | None = None, digests: bool = False) -> DataFrame:
+    """``(column_name, value)`` with every value as canonical text (``digests``:
+    long ones as their digest, so no full text reaches a shuffle); nulls dropped."""
     specs = column_specs(df, columns)
     if not specs:
         raise ValueError("no columns to unpivot")
-    texts = df.select(*[as_text(_q(s.name), s.dtype).alias(f"c{s.position}") for s in specs])
+    keyed = digest if digests else (lambda c: c)
+    texts = df.select(*[(keyed(as_text(_q(s.name), s.dtype)) if not (s.numeric or s.temporal) else as_text(_q(s.name), s.dtype)).alias(f"c{s.position}") for s in specs])
     names = {f"c{s.position}": s.name for s in specs}
     longf = texts.unpivot([], list(names), "slot", "value").filter(F.col("value").isNotNull())
     mapping = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
     return longf.select(mapping[F.col("slot")].alias("column_name"), "value")
 
 
-def frequency_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def frequency_table(df: DataFrame, columns: list[str] | None = None, digests: bool = False) -> DataFrame:
     """``(column_name, value, count)`` for every non-null value of every column."""
-    return long_values(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
+    return long_values(df, columns, digests).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
 def distinct_counts(freq: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def kind_expr() -> F.Column:
 
 def column_summary(df: DataFrame, columns: list[str] | None = None, freq: DataFrame | None = None) -> DataFrame:
     """Stats + distinct counts + kind, one row per column (bounded by the schema)."""
-    freq = freq if freq is not None else frequency_table(df, columns)
+    freq = freq if freq is not None else frequency_table(df, columns, digests=True)
     stats = column_stats(df, columns)
     # Both sides have one row per column: their size is bounded by the schema.
     joined = stats.join(F.broadcast(distinct_counts(freq)), "column_name", "left").withColumn(

@@ -39,7 +39,9 @@ def one_row_join(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: ``rows`` and ``duplicate_rows`` (copies beyond the first; null = null)."""
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    # 128 bits of two independent hashes stand for a row; the null flags tell (null, a) from (a, null)
+    cells = [x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    groups = df.groupBy(F.xxhash64(*cells), F.xxhash64(F.lit(1), *cells)).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("rows"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"),

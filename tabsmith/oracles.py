@@ -41,7 +41,7 @@ SCHEMAS: dict[str, list[tuple[str, str]]] = {
 }
 
 # The lenient date formats, strptime spelling.
-DATE_FORMATS_SQL = ("%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y/%m/%d", "%m/%d/%Y")
+DATE_FORMATS_SQL = ("%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y/%m/%d", "%m/%d/%Y")
 
 
 def date_ok(x: str) -> str:

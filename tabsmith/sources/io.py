@@ -8,29 +8,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tabsmith.functions.scalar import sanitize_label
 from tabsmith.operators.ranking import row_number_within
+from tabsmith.session import nan_as_null
 
 # Tokens read as missing at CSV ingest.
 NA_TOKENS = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "#N/A", "<NA>")
 
 
-def read_csv(spark: SparkSession, path: str, sample_ratio: float = 0.1) -> DataFrame:
-    """Header + type inference on a sample; NA tokens and NaN -> null."""
-    raw = spark.read.option("header", True).option("inferSchema", True).option("samplingRatio", sample_ratio).option(
-        "mode", "PERMISSIVE"
-    ).csv(path)
-    out = []
-    for f in raw.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.StringType):
-            out.append(F.when(F.trim(c).isin(*NA_TOKENS), F.lit(None)).otherwise(c).alias(f.name))
-        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.when(F.isnan(c), F.lit(None)).otherwise(c).alias(f.name))
-        else:
-            out.append(c)
-    return raw.select(*out)
+# Spelling of numbers (integers, decimals, exponents, infinities).
+_INTEGER = r"^\s*[+-]?[0-9]+\s*$"
+_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(inf|Infinity)\s*$"
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Header, NA tokens -> null (D10), then a type for each column that holds for every value.
+
+    All columns are read as text; one aggregate over the whole file counts the
+    values that parse as integer, number and boolean, and only a column whose
+    values all parse is cast. So no value is lost to a guess from a sample.
+    ``multi_line`` reads quoted line breaks, at the price of unsplittable files.
+    """
+    raw = spark.read.option("header", True).option("multiLine", multi_line).csv(path)
+    text = raw.select(*[F.when(~F.trim(c).isin(*NA_TOKENS), c).alias(n) for n, c in ((n, F.col(f"`{n}`")) for n in raw.columns)])
+    checks = {
+        "values": lambda c: c.isNotNull(),
+        "integers": lambda c: c.rlike(_INTEGER) & c.try_cast("bigint").isNotNull(),
+        "numbers": lambda c: c.rlike(_NUMBER),
+        "booleans": lambda c: c.isin("True", "False", "true", "false", "TRUE", "FALSE"),
+        "rows": lambda c: F.lit(True),
+    }
+    aggregates = [F.count_if(check(F.col(f"`{n}`"))).alias(f"{kind}{i}") for i, n in enumerate(raw.columns) for kind, check in checks.items()]
+    if not aggregates:
+        return text
+    counts = text.agg(*aggregates).first()
+
+    def typed(i: int, name: str):
+        c, n = F.col(f"`{name}`"), counts[f"values{i}"]
+        if n and counts[f"integers{i}"] == n:
+            return F.trim(c).cast("bigint").alias(name)
+        if n and counts[f"numbers{i}"] == n:
+            return F.regexp_replace(F.trim(c), "(?i)^([+-]?)inf(inity)?$", "$1Infinity").cast("double").alias(name)
+        if n and counts[f"booleans{i}"] == n == counts[f"rows{i}"]:
+            return F.lower(c).cast("boolean").alias(name)
+        return c
+
+    return text.select(*[typed(i, name) for i, name in enumerate(raw.columns)])
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str | None = None,
@@ -47,8 +71,8 @@ def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str |
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """S3."""
-    return spark.read.parquet(path)
+    """S3: NaN is read as missing."""
+    return nan_as_null(spark.read.parquet(path))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -62,19 +86,13 @@ def scored_csv(df: DataFrame, path: str, labels: list[str] | None = None) -> Non
     (labels sorted, sanitised to alphanumerics and underscores)."""
     out = df
     if labels and "probabilities" in df.columns:
-        for lab in sorted(labels):
-            name = "probability_" + (sanitize_label_text(lab) or "class")
-            out = out.withColumn(name, F.col("probabilities")[lab])
+        names = out.sparkSession.range(1).select(*[sanitize_label(F.lit(x)).alias(str(i)) for i, x in enumerate(sorted(labels))]).first()
+        for label, name in zip(sorted(labels), names):
+            out = out.withColumn(f"probability_{name or 'class'}", F.col("probabilities")[label])
         out = out.drop("probabilities")
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
-def sanitize_label_text(label: str) -> str:
-    import re
-
-    return re.sub(r"^_+|_+$", "", re.sub(r"[^0-9A-Za-z_]", "_", str(label)))
-
-
 def retained(registry: DataFrame, cap: int, order_col: str = "created_at", key: str | None = None) -> DataFrame:
     """Newest ``cap`` rows (per key when given), skew-safe numbering."""
     groups = [key] if key else []
