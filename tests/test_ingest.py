@@ -78,13 +78,13 @@ def test_duplicates_tell_nulls_apart(spark):
 
 def test_feature_plan_roles(spark):
     label = random.Random(1).choices((0, 1), k=60)
-    rows = [(i, "same", f"2024-01-{i % 28 + 1:02d}", label[i], str(label[i]), float(i % 7)) for i in range(60)]
-    df = spark.createDataFrame(rows, "row_id int, fixed string, day string, y int, y_copy string, z double")
-    plan = build_feature_plan(df, "y", ["row_id", "fixed", "day", "y_copy", "z"], "classification")
+    rows = [(i, "same", f"2024-01-{i % 5 + 1:02d}", label[i], str(label[i]), float(i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id int, fixed string, day string, goal int, copy string, z double")
+    plan = build_feature_plan(df, "goal", ["row_id", "fixed", "day", "copy", "z"], "classification")
     assert {d["name"]: d["kind"] for d in plan.dropped_columns} == {"row_id": "id_like", "fixed": "constant"}
     assert plan.date_columns == ["day"] and plan.date_minimums["day"].startswith("2024-01-01")
-    assert [x["column_name"] for x in plan.leakage_columns] == ["y_copy"]
-    assert build_feature_plan(df, "y", [], "classification").original_columns == []
+    assert [x["column_name"] for x in plan.leakage_columns] == ["copy"]
+    assert build_feature_plan(df, "goal", [], "classification").original_columns == []
 
 
 def test_cleaning_options():
