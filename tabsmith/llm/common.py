@@ -35,6 +35,17 @@ def ship_code(spark: SparkSession) -> None:
 _SHIPPED: set[str] = set()
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, where the session leaves Spark's default of 64 MB.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """Keep Python workers small: batches of ``BATCH_BYTES`` in this session, unless it says otherwise itself."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, "67108864b") in ("67108864b", "67108864", "64m", "64MB"):
+        conf.set(name, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -104,6 +115,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

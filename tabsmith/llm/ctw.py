@@ -30,11 +30,14 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import pieces, segment_sums, table_count, utf8, written
+from tabsmith.llm.common import pieces, segment_sums, small_batches, table_count, utf8, written
 from tabsmith.llm.langid import windows
 from tabsmith.llm.words import SPACE, mix, word_hashes, word_spans
 
@@ -70,7 +73,7 @@ def streams(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Blocks: their number, ids and folds of their texts, the code bytes and bounds."""
+    """Blocks: their number, ids and folds of their texts, the code bytes (compressed), their number and bounds."""
     source = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +83,7 @@ def pack(docs: DataFrame, held_out: Column) -> DataFrame:
             block = pa.RecordBatch.from_pydict({
                 "block": pa.array([uuid.uuid4().int >> 65], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array([0, sum(map(len, ids))], pa.int32()), pa.concat_arrays(ids)),
                 "folds": pa.ListArray.from_arrays(pa.array([0, sum(map(len, ids))], pa.int32()), pa.concat_arrays(folds)),
-                "data": pa.array([np.concatenate(data).tobytes()], pa.binary()), "bounds": pa.array([np.concatenate(bounds)], pa.list_(pa.int64())),
+                "data": pa.array([zstandard.compress(np.concatenate(data).tobytes(), 3)], pa.binary()), "size": pa.array([sum(map(len, data))], pa.int64()), "bounds": pa.array([np.concatenate(bounds)], pa.list_(pa.int64())),
             })
             del ids[:], folds[:], data[:], bounds[1:]
             return block
@@ -99,11 +102,11 @@ def pack(docs: DataFrame, held_out: Column) -> DataFrame:
             yield flush()
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"block long, ids array<{kind}>, folds array<boolean>, data binary, bounds array<long>")
+    return source.mapInArrow(run, f"block long, ids array<{kind}>, folds array<boolean>, data binary, size long, bounds array<long>")
 
 
 def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row["data"], np.uint8), np.asarray(row["bounds"], np.int64), np.asarray(row["folds"], bool)
+    return np.frombuffer(zstandard.decompress(row["data"]), np.uint8), np.asarray(row["bounds"], np.int64), np.asarray(row["folds"], bool)
 
 
 def _parts(data: np.ndarray, bounds: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
@@ -113,12 +116,13 @@ def _parts(data: np.ndarray, bounds: np.ndarray, limit: int = 2 << 20) -> Iterat
     yield from zip(cuts, cuts[1:])
 
 
-def _keys(data: np.ndarray, bounds: np.ndarray, a: int, b: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Words (the end last) and windows of the texts [a, b), each with the texts' bounds."""
+def _keys(kind: int, data: np.ndarray, bounds: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words (the end last) or windows of the texts [a, b), and the texts' bounds in them."""
     own, at = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
+    if kind == WINDOW:
+        return windows(own, at, DEPTH + 1, END_BYTE), at
     words, rows = word_hashes(own, at, SPACE)
-    tokens = np.insert(words, rows[1:], _END)
-    return (tokens, rows + np.arange(len(rows))), (windows(own, at, DEPTH + 1, END_BYTE), at)
+    return np.insert(words, rows[1:], _END), rows + np.arange(len(rows))
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,6 +135,26 @@ def _owner(kind: int, keys: np.ndarray, owners: int) -> np.ndarray:
     return (mix(place + np.uint64(kind)) % np.uint64(owners)).astype(np.int64)
 
 
+def _asked(data: np.ndarray, bounds: np.ndarray, folds: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct keys, ascending, and their training counts."""
+    keys, counts = [], []
+    for a, b in _parts(data, bounds):
+        found, at = _keys(kind, data, bounds, a, b)
+        train = np.repeat(~folds[a:b], np.diff(at))
+        k, n = np.unique(found[train], return_counts=True)
+        rest = np.unique(found[~train])
+        keys += [k, rest]
+        counts += [n, np.zeros(len(rest))]
+    return _merge(keys, counts)
+
+
+def _by_owner(kind: int, keys: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a block's keys by owner, and the owners' bounds in it."""
+    to = _owner(kind, keys, owners)
+    order = np.argsort(to, kind="stable")
+    return order, np.searchsorted(to[order], np.arange(owners + 1))
+
+
 def requests(blocks: DataFrame, owners: int) -> DataFrame:
     """owner, kind, block, keys, counts (packed): what each block asks of each owner."""
 
@@ -140,18 +164,8 @@ def requests(blocks: DataFrame, owners: int) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 data, bounds, folds = _arrays(row)
                 for kind in (WORD, WINDOW):
-                    keys, counts = [], []
-                    for a, b in _parts(data, bounds):
-                        found, at = _keys(data, bounds, a, b)[kind]
-                        train = np.repeat(~folds[a:b], np.diff(at))
-                        k, n = np.unique(found[train], return_counts=True)
-                        new = np.setdiff1d(found[~train], k)
-                        keys += [k, new]
-                        counts += [n, np.zeros(len(new))]
-                    keys, counts = _merge(keys, counts)
-                    to = _owner(kind, keys, owners)
-                    order = np.argsort(to, kind="stable")
-                    cuts = np.searchsorted(to[order], np.arange(owners + 1))
+                    keys, counts = _asked(data, bounds, folds, kind)
+                    order, cuts = _by_owner(kind, keys, owners)
                     full = np.flatnonzero(np.diff(cuts))
                     yield pa.RecordBatch.from_pydict({
                         "owner": full.astype(np.int32), "kind": pa.array([kind] * len(full), pa.int32()), "block": pa.array([row["block"]] * len(full), pa.int64()),
@@ -171,7 +185,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     for k in range(1, 8):
         shift += np.log(x + k)
     y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.918938533204672742 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+    return (y - 0.5) * np.log(y) - y + 0.918938533204672742 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - shift
 
 
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -252,9 +266,6 @@ def log10_probabilities(window: np.ndarray, levels: list[Level]) -> np.ndarray:
 
 # -- owners and blocks --------------------------------------------------------------------------------------
 
-_ASKED = "owner int, kind int, block long, keys binary, counts binary"
-
-
 def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     asked = [np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]
     keys, counts = _merge(asked, [np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()])
@@ -273,14 +284,14 @@ def totals(asked: DataFrame) -> DataFrame:
             two = subtrees(keys, counts)[-1]
             node, inverse = np.unique(two.keys & np.uint64(0xFFFF), return_inverse=True)
             node, sums = node.astype(np.int64), [np.bincount(inverse, x, len(node)) for x in (two.n0, two.n1, two.log)]
-        yield pa.RecordBatch.from_pydict({"kind": pa.array([key[1].as_py()] * len(node), pa.int32()), "key": node, **dict(zip("abc", sums))})
+        yield pa.RecordBatch.from_pydict({"kind": pa.array([key[1].as_py()] * len(node), pa.int32()), "key": node, **{x: np.asarray(v, np.float64) for x, v in zip("abc", sums)}})
 
     made = asked.groupBy("owner", "kind").applyInArrow(run, "kind int, key long, a double, b double, c double")
     return made.groupBy("kind", "key").agg(*[F.sum(x).alias(x) for x in "abc"])
 
 
 def answers(asked: DataFrame, top: list[Level]) -> DataFrame:
-    """block, kind, keys, values (packed): counts of words, log10 probabilities of windows."""
+    """block, kind, owner, values (packed, in the order of the keys asked): counts of words, log10 probabilities of windows."""
     held = asked.sparkSession.sparkContext.broadcast(top)  # 256 contexts x 256 nodes at most
 
     def run(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,18 +304,20 @@ def answers(asked: DataFrame, top: list[Level]) -> DataFrame:
         for block, own in zip(table["block"].to_pylist(), asked_):
             found = values[np.searchsorted(keys, own)]
             yield pa.RecordBatch.from_pydict({
-                "block": pa.array([block], pa.int64()), "kind": pa.array([key[1].as_py()], pa.int32()),
-                "keys": pa.array([own.tobytes()], pa.binary()), "values": pa.array([found.astype("<f4" if key[1].as_py() else "<f8").tobytes()], pa.binary()),
+                "block": pa.array([block], pa.int64()), "kind": pa.array([key[1].as_py()], pa.int32()), "owner": pa.array([key[0].as_py()], pa.int32()),
+                "values": pa.array([found.astype("<u8" if key[1].as_py() == WORD else "<f4").tobytes()], pa.binary()),
             })
 
-    return asked.groupBy("owner", "kind").applyInArrow(run, "block long, kind int, keys binary, values binary")
+    return asked.groupBy("owner", "kind").applyInArrow(run, "block long, kind int, owner int, values binary")
 
 
 def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document."""
+    small_batches(docs)
     blocks = written(pack(docs, held_out), "blocks")
-    size = blocks.agg(F.sum(F.octet_length("data"))).first()[0]
-    asked = written(requests(blocks, table_count(size, OWNER)), "requests")
+    size = blocks.agg(F.sum("size")).first()[0]
+    owners = table_count(size, OWNER)
+    asked = written(requests(blocks, owners), "requests")
     sums = totals(asked).toPandas()  # 1 + 65,536 rows at most
     words, nodes = sums[sums.kind == WORD], sums[sums.kind == WINDOW].sort_values("key")
     tokens, distinct = float(words.a.sum()), float(words.b.sum())
@@ -315,24 +328,26 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     def add_up(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         data, bounds, folds = _arrays(row)
-        known = {}
-        for k in (WORD, WINDOW):
-            own = [r for r in right.to_pylist() if r["kind"] == k]
-            keys = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in own])
-            values = np.concatenate([np.frombuffer(r["values"], "<f4" if k else "<f8") for r in own])
-            order = np.argsort(keys)
-            known[k] = keys[order], values[order]
         out: dict = {x: [] for x in ("n_tokens", "n_known", "base_score", "score")}
-        for a, b in _parts(data, bounds):
-            (found, at), (window, byte_at) = _keys(data, bounds, a, b)
-            uniq, inverse = np.unique(found, return_inverse=True)
-            count = known[WORD][1][np.searchsorted(known[WORD][0], uniq)]
-            out["n_tokens"].append(np.diff(at))
-            out["n_known"].append(segment_sums((count > 0)[inverse], at))
-            out["base_score"].append(segment_sums((np.log10(count + 0.1) - scale)[inverse], at))
-            uniq, inverse = np.unique(window, return_inverse=True)
-            value = known[WINDOW][1][np.searchsorted(known[WINDOW][0], uniq)]
-            out["score"].append(segment_sums(value[inverse], byte_at))
+        for k in (WORD, WINDOW):
+            parts = []
+            for a, b in _parts(data, bounds):
+                found, at = _keys(k, data, bounds, a, b)
+                codes, distinct_keys = pd.factorize(found)
+                parts.append((codes.astype(np.int32), distinct_keys, at))
+            keys = np.unique(np.concatenate([d for _, d, _ in parts]))
+            order, _ = _by_owner(k, keys, owners)
+            own = right.filter(pc.equal(right["kind"], k)).sort_by("owner")
+            values = np.empty(len(keys))
+            values[order] = np.concatenate([np.frombuffer(x, "<u8" if k == WORD else "<f4") for x in own["values"].to_pylist()])
+            for codes, distinct_keys, at in parts:
+                value = values[np.searchsorted(keys, distinct_keys)]
+                if k == WINDOW:
+                    out["score"].append(segment_sums(value[codes], at))
+                else:
+                    out["n_tokens"].append(np.diff(at))
+                    out["n_known"].append(segment_sums((value > 0)[codes], at))
+                    out["base_score"].append(segment_sums((np.log10(value + 0.1) - scale)[codes], at))
         columns = {k: np.concatenate(v) for k, v in out.items()}
         return pa.table({
             "doc_id": left["ids"].combine_chunks().flatten(), "held_out": folds, "n_tokens": columns["n_tokens"].astype(np.int64), "n_known": columns["n_known"].astype(np.int64),

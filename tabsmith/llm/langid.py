@@ -18,12 +18,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import bounded_sample, pieces, utf8, worker_cache
+from tabsmith.llm.common import bounded_sample, pieces, small_batches, utf8, worker_cache
 
 ORDER = 4
 SAMPLE_DOCS = 1000
@@ -34,14 +35,18 @@ KEEP = 1 << 20
 
 def windows(data: np.ndarray, bounds: np.ndarray, length: int, pad: int = 10) -> np.ndarray:
     """For each byte the ``length`` bytes that end in it as one number; before a text stands ``pad``."""
-    key = np.zeros(len(data), np.uint64)
-    at = np.arange(len(data)) - np.repeat(bounds[:-1], np.diff(bounds))
-    for back in range(length - 1, -1, -1):
-        byte = np.full(len(data), pad, np.uint64)
-        byte[back:] = data[: len(data) - back]
-        if back:
-            byte[at < back] = pad
-        key = (key << np.uint64(8)) | byte
+    key, have = data.astype(np.uint64), 1
+    while have < length:  # double the bytes that a key holds
+        more = min(have, length - have)
+        key[have:] |= (key[:-have] & np.uint64((1 << 8 * more) - 1)) << np.uint64(8 * have)
+        have += more
+    # the first bytes of each text must not see the text before
+    pads = np.uint64(int.from_bytes(bytes([pad]) * 8, "big"))
+    for seen in range(1, length):
+        at = bounds[:-1] + seen - 1
+        at = at[at < bounds[1:]]
+        low = np.uint64((1 << 8 * seen) - 1)
+        key[at] = (key[at] & low) | (pads & ~low & np.uint64((1 << 8 * length) - 1))
     return key
 
 
@@ -86,11 +91,13 @@ class Model:
         out = np.zeros((len(text), len(self.names)))
         if len(data) and self.names:
             order = self.trees[0].order
-            grams, inverse = np.unique(windows(data, bounds, order + 1), return_inverse=True)
-            costs = self._known(grams)
+            codes, grams = pd.factorize(windows(data, bounds, order + 1))
+            rank = np.argsort(grams)
+            costs = np.empty((len(grams), len(self.names)), np.float32)
+            costs[rank] = self._known(grams[rank])
             full = np.diff(bounds) > 0
             for j in range(len(self.names)):
-                out[full, j] = np.add.reduceat(costs[:, j][inverse], bounds[:-1][full])
+                out[full, j] = np.add.reduceat(costs[:, j][codes], bounds[:-1][full], dtype=np.float64)
         return out, np.diff(bounds)
 
     def _known(self, grams: np.ndarray) -> np.ndarray:
@@ -125,6 +132,7 @@ class Model:
 
 def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_text: int = SAMPLE_TEXT, order: int = ORDER) -> Model:
     """Learn from ``train`` (text, lang); rows without text, letter or lang teach nothing."""
+    small_batches(train)
     rows = train.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") <= sample_text) & F.col("text").rlike(r"\p{L}"))
     rows = bounded_sample(rows, sample_docs, 11, ["text"], "lang")
@@ -143,6 +151,7 @@ def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_text: int = SAM
 
 def identify(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """``columns`` of every document with ``lang_pred``, ``score`` and ``bits_per_byte``."""
+    small_batches(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     source = docs.select(*columns, F.col("text").cast("string").alias("text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "text")
