@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.operators.ranking import row_number_within
+from tabsmith.operators.ranking import row_number_within, top_k_within
 
 EXPERIMENT_KEYS = ["dataset_id", "target_column", "problem_type", "primary_metric"]
 CHAMPION_KEYS = ["target_column", "problem_type", "primary_metric"]
@@ -74,7 +74,7 @@ def champion_signals(models: DataFrame, promotions: DataFrame | None = None) ->
     )
     return out.select(
         "model_id", *CHAMPION_KEYS, "rank_score",
-        F.coalesce(F.col("rank"), F.lit(0)).cast("long").alias("rank"),  # 0 = unscored
+        F.col("rank").cast("long").alias("rank"),  # null: unscored
         F.coalesce(F.col("group_size"), F.lit(0)).cast("long").alias("group_size"),
         "champion_score",
         F.round(F.col("rank_score") - F.col("champion_score"), 4).alias("delta_vs_champion"),
@@ -99,8 +99,8 @@ def promote(promotions: DataFrame, incoming: DataFrame, promoted_at) -> DataFram
 
 def snapshot_deltas(snapshots: DataFrame) -> DataFrame:
     """W4 per model: latest score, previous score, delta (4 dp), snapshot count."""
-    r = row_number_within(snapshots, ["model_id"], [F.desc("created_at"), F.desc("snapshot_id")], out="_rn")
-    top2 = r.filter(F.col("_rn") <= 2).groupBy("model_id").agg(
+    r = top_k_within(snapshots, ["model_id"], [F.desc("created_at"), F.desc("snapshot_id")], 2, "snapshot_id", "_rn")
+    top2 = r.groupBy("model_id").agg(
         F.max(F.when(F.col("_rn") == 1, F.col("score"))).alias("latest_score"),
         F.max(F.when(F.col("_rn") == 2, F.col("score"))).alias("previous_score"),
     )
@@ -111,25 +111,38 @@ def snapshot_deltas(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def merge_alerts(active: DataFrame, incoming: DataFrame, now) -> DataFrame:
-    """Full outer join of the stored alerts with the incoming ones on
+def merge_alerts(stored: DataFrame, incoming: DataFrame, now) -> DataFrame:
+    """Full outer join of the stored active alerts with the incoming ones on
     (model_id, key): absent -> resolved (resolved_at = ``now``), present ->
     last_seen refreshed, new -> inserted active. ``incoming`` carries
-    (model_id, key, level, seen_at)."""
-    a = active.select("model_id", "key", "level", "created_at", "last_seen")
-    i = incoming.select(F.col("model_id").alias("_im"), F.col("key").alias("_ik"), F.col("level").alias("_il"),
-                        F.col("seen_at").alias("_seen"))
-    j = a.join(i, (F.col("model_id") == F.col("_im")) & (F.col("key") == F.col("_ik")), "full")
-    gone = F.col("_im").isNull()
-    return j.select(
-        F.coalesce("model_id", "_im").alias("model_id"),
-        F.coalesce("key", "_ik").alias("key"),
-        F.coalesce("_il", "level").alias("level"),
+    (model_id, key, level, seen_at). Alerts that were resolved before
+    (``status`` = resolved) stay as they are, and so do further columns of an
+    alert (title, message, ...): the incoming value if there is one."""
+    keys = ["model_id", "key"]
+    own = ["created_at", "last_seen", "resolved_at", "status"]
+    if "status" not in stored.columns:
+        stored = stored.withColumn("status", F.lit("active"))
+    if "resolved_at" not in stored.columns:
+        stored = stored.withColumn("resolved_at", F.lit(None).cast("timestamp"))
+    texts = [c for c in dict.fromkeys(stored.columns + incoming.columns) if c not in (*keys, *own, "seen_at")]
+    before = stored.where(F.col("status") == "resolved")
+    a = stored.where(F.col("status") != "resolved").select(F.struct(*[F.col(f"`{c}`") for c in stored.columns]).alias("a"))
+    i = incoming.select(F.struct(*[F.col(f"`{c}`") for c in incoming.columns]).alias("i"))
+    j = a.join(i, (F.col("a.model_id") == F.col("i.model_id")) & (F.col("a.key") == F.col("i.key")), "full")
+
+    def newer(name: str):
+        sides = [F.col(f"{side}.`{name}`") for side, df in (("i", incoming), ("a", stored)) if name in df.columns]
+        return F.coalesce(*sides).alias(name)
+
+    gone = F.col("i").isNull()
+    merged = j.select(
+        *[newer(c) for c in keys], *[newer(c) for c in texts],
         F.when(gone, F.lit("resolved")).otherwise(F.lit("active")).alias("status"),
-        F.coalesce("created_at", "_seen").alias("created_at"),
-        F.coalesce("_seen", "last_seen").alias("last_seen"),
+        F.coalesce("a.created_at", "i.seen_at").alias("created_at"),
+        F.coalesce("i.seen_at", "a.last_seen").alias("last_seen"),
         F.when(gone, now).alias("resolved_at"),
     )
+    return merged.unionByName(before, allowMissingColumns=True)
 
 
 def audit_summary(audits: DataFrame) -> DataFrame:

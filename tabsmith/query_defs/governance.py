@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.operators import governance as G
 from tabsmith.queries import T, query
+from tabsmith.sources import exports as X
 from tabsmith.sql_registry import oracle
 
 # One model per customer; every attribute is arithmetic on its key, the same text in both engines.
@@ -210,3 +211,41 @@ e AS (SELECT model_id, 'readiness' AS kind, NULL::TIMESTAMP AS happened, 'critic
   UNION ALL SELECT model_id, 'audit', created_at, CASE WHEN low_confidence_rows > 0 THEN 'warning' ELSE 'healthy' END, 3 FROM au WHERE model_id IN (SELECT model_id FROM mo)),
 p AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY kind <> 'readiness', happened DESC, o, status) AS position FROM e)
 SELECT model_id, position, kind, status FROM p WHERE position <= 10""")
+
+
+# ---------------------------------------------------------------- exports
+@query("leaderboard_export_orders")
+def leaderboard_export(spark, d):
+    """A model per customer; its orders are the leaderboard, customers without orders get the fallback row."""
+    orders = T(spark, d, "orders").select(
+        F.col("o_custkey").alias("c_custkey"), F.struct(
+            F.col("o_orderkey").alias("o"), F.col("o_orderpriority").alias("model_name"), F.col("o_orderstatus").alias("status"), F.lit("fair").alias("quality_label"),
+            F.round(F.col("o_totalprice") / 1000, 2).alias("rank_score"), (F.col("o_orderkey") % 2 == 0).alias("cv_available"), F.lit("r2").alias("cv_metric"),
+            F.lit(None).cast("double").alias("cv_mean"), F.lit(None).cast("double").alias("cv_std"),
+            F.create_map(F.lit("r2"), (F.col("o_orderkey") % 100) / 100).alias("metrics"), F.lit(None).cast("string").alias("tuned_from"), F.lit(None).cast("string").alias("error"),
+        ).alias("row"))
+    boards = orders.groupBy("c_custkey").agg(
+        F.array_sort(F.collect_list("row"), lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)).alias("leaderboard"))
+    models = T(spark, d, "customer").join(boards, "c_custkey", "left").select(
+        F.col("c_custkey").alias("model_id"), F.col("c_name").alias("best_model"), F.lit("good").alias("quality_label"), F.col("c_acctbal").alias("rank_score"),
+        F.lit("accuracy").alias("primary_metric"), F.create_map(F.lit("accuracy"), F.col("c_acctbal") / 10000).alias("holdout_metrics"), "leaderboard")
+    return X.leaderboard_export(models).select("rank", "model_id", "model_name", "status", "quality_label", "rank_score", "cv_available", "cv_metric", "accuracy", "r2")
+
+
+oracle("leaderboard_export_orders", """SELECT row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS rank, c_custkey AS model_id,
+CASE WHEN o_orderkey IS NULL THEN c_name ELSE o_orderpriority END AS model_name, CASE WHEN o_orderkey IS NULL THEN 'saved' ELSE o_orderstatus END AS status,
+CASE WHEN o_orderkey IS NULL THEN 'good' ELSE 'fair' END AS quality_label, CASE WHEN o_orderkey IS NULL THEN c_acctbal ELSE round(o_totalprice / 1000, 2) END AS rank_score,
+o_orderkey % 2 = 0 AS cv_available, CASE WHEN o_orderkey IS NULL THEN 'accuracy' ELSE 'r2' END AS cv_metric,
+CASE WHEN o_orderkey IS NULL THEN c_acctbal / 10000 END AS accuracy, (o_orderkey % 100) / 100.0::DOUBLE AS r2
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey""")
+
+
+@query("drift_listing_orders")
+def drift_listing(spark, d):
+    """Every model's newest drift report."""
+    return X.drift_listing(frames(spark, d)[2])
+
+
+oracle("drift_listing_orders", f"""WITH r AS (SELECT * FROM ({_select(_DRIFT_SQL, 'orders')}) WHERE model_id % 3 <> 1)
+SELECT model_id, (SELECT count(*) FROM r) AS total_reports, count(*) AS filtered_reports, arg_max(report_id, (created_at, report_id)) AS latest_report,
+arg_max(status, (created_at, report_id)) AS latest_status FROM r GROUP BY model_id""")

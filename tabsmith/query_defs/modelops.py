@@ -64,7 +64,8 @@ def promotions_registry(spark, d):
 
 @query("champion_signals_orders")
 def champions(spark, d):
-    return MO.champion_signals(models_registry(spark, d), promotions_registry(spark, d))
+    # unscored models have no rank; as a double, null reads alike in both engines
+    return MO.champion_signals(models_registry(spark, d), promotions_registry(spark, d)).withColumn("rank", F.col("rank").cast("double"))
 
 
 oracle("champion_signals_orders", f"""WITH m AS ({MODELS_SQL}),
@@ -73,7 +74,7 @@ r AS (SELECT model_id, row_number() OVER (PARTITION BY target_column, problem_ty
 c AS (SELECT target_column, problem_type, primary_metric, max(rank_score) AS champion_score, count(*) AS group_size,
     arg_max(model_id, (rank_score, created_at, model_id)) AS champion_id,
     arg_min(model_id, (created_at, model_id)) AS production_id FROM s GROUP BY 1, 2, 3)
-SELECT m.model_id, m.target_column, m.problem_type, m.primary_metric, m.rank_score, CAST(coalesce(rk, 0) AS BIGINT) AS rank,
+SELECT m.model_id, m.target_column, m.problem_type, m.primary_metric, m.rank_score, CAST(rk AS DOUBLE) AS rank,
   CAST(coalesce(group_size, 0) AS BIGINT) AS group_size, champion_score, round(m.rank_score - champion_score, 4) AS delta_vs_champion,
   CASE WHEN rk IS NULL THEN 'unscored' WHEN m.model_id = production_id THEN 'production'
        WHEN m.model_id = champion_id THEN 'champion' ELSE 'challenger' END AS status
@@ -133,9 +134,34 @@ SELECT status, level, CAST(count(*) AS BIGINT) AS alerts, CAST(count(DISTINCT mo
   min(created_at) AS min_created_at, CAST(count(resolved_at) AS BIGINT) AS resolved_rows FROM m GROUP BY 1, 2""")
 
 
+@query("alert_rows_events")
+def alert_rows(spark, d):
+    """W6 row by row: alerts of the first week stored (signups already resolved), those of the second incoming."""
+    e = T(spark, d, "events")
+    cut = F.lit(WEEK2).cast("timestamp")
+    stored = e.filter(F.col("ts") < cut).groupBy(F.col("user_id").alias("model_id"), F.col("event_type").alias("key")).agg(
+        F.min("ts").alias("created_at"), F.max("ts").alias("last_seen"), F.lit("warning").alias("level"), F.count(F.lit(1)).cast("string").alias("message"))
+    resolved = F.col("key") == "signup"
+    stored = stored.withColumn("status", F.when(resolved, "resolved").otherwise("active")).withColumn("resolved_at", F.when(resolved, F.col("last_seen")))
+    incoming = e.filter((F.col("ts") >= cut) & (F.col("event_type") != "signup")).groupBy(F.col("user_id").alias("model_id"), F.col("event_type").alias("key")).agg(
+        F.max("ts").alias("seen_at"), F.lit("critical").alias("level"))
+    return MO.merge_alerts(stored, incoming, cut)
+
+
+oracle("alert_rows_events", f"""WITH s AS (SELECT user_id AS model_id, event_type AS key, min(ts) AS created_at, max(ts) AS last_seen, CAST(count(*) AS VARCHAR) AS message
+  FROM events WHERE ts < TIMESTAMP '{WEEK2}' GROUP BY 1, 2),
+a AS (SELECT * FROM s WHERE key <> 'signup'),
+i AS (SELECT user_id AS model_id, event_type AS key, max(ts) AS seen_at FROM events WHERE ts >= TIMESTAMP '{WEEK2}' AND event_type <> 'signup' GROUP BY 1, 2)
+SELECT coalesce(a.model_id, i.model_id) AS model_id, coalesce(a.key, i.key) AS key, CASE WHEN i.model_id IS NULL THEN 'warning' ELSE 'critical' END AS level, message,
+  CASE WHEN i.model_id IS NULL THEN 'resolved' ELSE 'active' END AS status, coalesce(a.created_at, i.seen_at) AS created_at, coalesce(i.seen_at, a.last_seen) AS last_seen,
+  CASE WHEN i.model_id IS NULL THEN TIMESTAMP '{WEEK2}' END AS resolved_at
+FROM a FULL OUTER JOIN i ON a.model_id = i.model_id AND a.key = i.key
+UNION ALL SELECT model_id, key, 'warning', message, 'resolved', created_at, last_seen, last_seen FROM s WHERE key = 'signup'""")
+
+
 def audits_registry(spark, d):
-    """One prediction audit per purchase/view event: rows scored from props."""
-    e = T(spark, d, "events").filter(F.col("event_type").isin("purchase", "view"))
+    """One prediction audit per event: rows scored from props."""
+    e = T(spark, d, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     conf = F.least(F.lit(1.0), F.col("value") / 100.0).cast("decimal(10,4)")
     return e.select(F.col("user_id").alias("model_id"), k.alias("row_count"),
@@ -149,7 +175,7 @@ def audit_summary(spark, d):
 
 
 oracle("audit_summary_events", f"""WITH a AS (SELECT user_id AS model_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS row_count,
-   CAST(least(1.0, value / 100.0) AS DECIMAL(10, 4)) AS conf, ts FROM events WHERE event_type IN ('purchase', 'view'))
+   CAST(least(1.0, value / 100.0) AS DECIMAL(10, 4)) AS conf, ts FROM events)
 SELECT model_id, CAST(count(*) AS BIGINT) AS audits, CAST(sum(row_count) AS BIGINT) AS rows_scored,
   CAST(sum(CASE WHEN conf < 0.55 THEN row_count ELSE 0 END) AS BIGINT) AS low_confidence_rows, {spark_round('avg(conf)', 4)} AS mean_confidence,
   max(ts) AS latest_audit FROM a GROUP BY 1""")

@@ -3,7 +3,6 @@ counts and the suggested target, each from one profile job of that table."""
 
 from __future__ import annotations
 
-import glob
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,9 @@ from tabsmith.sources.io import read_csv
 
 def sample_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     rows = []
-    for path in sorted(glob.glob(os.path.join(folder, "*.csv"))):
+    # Spark lists the folder, so any store that it reads will do; no content is read here
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path")
+    for path in sorted(r["path"] for r in found.collect()):
         df = read_csv(spark, path)
         kinds = column_summary(df).groupBy().agg(
             F.first("rows").alias("rows"),

@@ -3,8 +3,8 @@
 Each micro-batch is scored with the same ``PipelineModel`` transform and two
 sinks are written from ``foreachBatch``: the scored rows and one audit row per
 batch (rows, low-confidence rows, mean confidence). The checkpoint lives in the
-shared folder named by ``spark.checkpoint.dir``, so a restarted query resumes
-exactly once per batch id.
+shared folder named by ``spark.checkpoint.dir``; a replayed batch overwrites the
+folder of its batch id, so every batch counts once.
 """
 
 from __future__ import annotations
@@ -23,18 +23,18 @@ def start_stream_scoring(stream: DataFrame, model: PipelineModel, model_id: str,
     ckpt = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-scoring-{model_id}"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        # a replayed batch overwrites its own folders, so it leaves its rows and its audit once
         rows = prepare(batch) if prepare else batch
-        scored = predict_with_confidence(model, rows).withColumn("batch_id", F.lit(batch_id))
-        scored = scored.drop("features", "rawPrediction", "probability", "probabilities")
-        scored = scored.select(*[c for c in scored.columns if not c.startswith("__")])
-        scored.write.mode("append").parquet(f"{scored_path}/batch_id={batch_id}")
+        scored = predict_with_confidence(model, rows).drop("features", "rawPrediction", "probability", "probabilities")
+        scored = scored.select(*[F.col(f"`{c}`") for c in scored.columns if not c.startswith("__") and c != "batch_id"]).persist()
+        scored.write.mode("overwrite").parquet(f"{scored_path}/batch_id={batch_id}")
         audit = scored.agg(
-            F.lit(model_id).alias("model_id"), F.lit(batch_id).cast("long").alias("batch_id"),
-            F.count(F.lit(1)).cast("long").alias("row_count"),
+            F.lit(model_id).alias("model_id"), F.count(F.lit(1)).cast("long").alias("row_count"),
             F.count(F.when(F.col("low_confidence"), 1)).cast("long").alias("low_confidence_rows"),
             F.round(F.avg("confidence"), 4).alias("average_confidence"), F.current_timestamp().alias("created_at"),
         )
-        audit.write.mode("append").parquet(audit_path)
+        audit.write.mode("overwrite").parquet(f"{audit_path}/batch_id={batch_id}")
+        scored.unpersist()
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if trigger_once else writer
