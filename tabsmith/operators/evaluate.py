@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions.scalar import is_numeric_type, is_temporal_type, lenient_timestamp, normalized_name
 from tabsmith.operators.freq import distinct_counts, frequency_table
-from tabsmith.operators.quantiles import exact_median_by_group
+from tabsmith.operators.quantiles import exact_quantiles
 from tabsmith.operators.ranking import row_number_within
 
 
@@ -68,12 +68,17 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
     )
 
 
+def median(df: DataFrame, column: str) -> DataFrame:
+    """One row, ``median``: null without values."""
+    return exact_quantiles(df, [column], [0.5]).agg(F.max("value").alias("median"))
+
+
 def target_summary(df: DataFrame, target: str) -> DataFrame:
     """A24 regression: mean / median / min / max / population std (4 dp)."""
     x = _q(target).cast("double")
-    base = df.select(x.alias("y"), F.lit(1).alias("_g")).filter(F.col("y").isNotNull())
+    base = df.select(x.alias("y")).filter(F.col("y").isNotNull())
     stats = base.agg(F.avg("y").alias("mean"), F.min("y").alias("min"), F.max("y").alias("max"), F.stddev_pop("y").alias("std"))
-    med = exact_median_by_group(base, ["_g"], "y").drop("_g")
+    med = median(base, "y")
     return stats.withColumn("_o", F.lit(1)).join(F.broadcast(med.withColumn("_o", F.lit(1))), "_o").select(
         F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"), F.round("min", 4).alias("min"),
         F.round("max", 4).alias("max"), F.round("std", 4).alias("std"),
@@ -308,7 +313,7 @@ def regression_metrics(pred: DataFrame, actual: str = "actual", predicted: str =
         F.max("e").alias("under"),
         F.var_pop("a").alias("va"),
     )
-    med = exact_median_by_group(base, ["_g"], "e").drop("_g")
+    med = median(base, "e")
     j = s.withColumn("_o", F.lit(1)).join(F.broadcast(med.withColumn("_o", F.lit(1))), "_o")
     r2 = F.when(F.col("va") > 0, 1 - (F.col("sse") / F.col("n")) / F.col("va"))
     return j.select(
