@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import bounded_sample, written
+from tabsmith.llm.common import bounded_sample, small_batches, written
 
 TREES = 16
 LEAF = 512
@@ -37,6 +37,8 @@ CHOICES = 8
 CHECKED = 64
 RECALL = 0.96
 BLOCK = 4096
+#: Queries whose results a task merges at a time.
+MERGED = 256
 
 
 def prepared(table: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -184,6 +186,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_column: str = "v
 
     ``is_query`` is a condition on the column ``vec_id``.
     """
+    small_batches(table)
     spark = table.sparkSession
     rows = written(prepared(table, id_column, vector_column), "vectors")
     lengths = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
@@ -225,7 +228,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_column: str = "v
                 })
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict = {"qid": [], "cids": [], "scores": []}
+        out: dict = {"qid": [], "cids": [], "scores": [], "leasts": []}
         if left.num_rows and right.num_rows:
             least, cids = right["least"].to_numpy(), right["cid"].to_pylist()
             x = matrix(right["vec"])
@@ -236,17 +239,32 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_column: str = "v
                     out["qid"].append(qid)
                     out["cids"].append([cids[j] for j in best])
                     out["scores"].append(row[best])
-        return pa.table({"qid": pa.array(out["qid"], pa.binary()), "cids": pa.array(out["cids"], pa.list_(pa.binary())), "scores": pa.array(out["scores"], pa.list_(pa.float64()))})
+                    out["leasts"].append(least[best])
+        kinds = {"qid": pa.binary(), "cids": pa.list_(pa.binary()), "scores": pa.list_(pa.float64()), "leasts": pa.list_(pa.int64())}
+        return pa.table({name: pa.array(out[name], kind) for name, kind in kinds.items()})
+
+    def merge(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best classes of each query over all leaves that it visited; a class met in several trees counts once."""
+        best: dict = {}
+        for batch in parts:
+            for row in batch.select(["qid", "cids", "scores", "leasts"]).to_pylist():
+                mine = best.setdefault(row["qid"], {})
+                mine.update(zip(row["cids"], zip((-x for x in row["scores"]), row["leasts"])))
+                if len(mine) > 50 * k:
+                    best[row["qid"]] = dict(sorted(mine.items(), key=lambda x: (x[1], x[0]))[: k + 1])
+        for qid, mine in best.items():
+            top = sorted(mine.items(), key=lambda x: (x[1], x[0]))[: k + 1]
+            yield pa.RecordBatch.from_pydict({
+                "qid": pa.array([qid] * len(top), pa.binary()), "cid": pa.array([c for c, _ in top], pa.binary()), "score": pa.array([-x[0] for _, x in top], pa.float64()),
+            })
 
     filed = classes.select("cid", F.element_at("ids", 1).alias("least"), "vec").mapInArrow(file, "tree int, leaf long, block int, cid binary, least long, vec binary")
     wanted = queries.mapInArrow(walk, "tree int, leaf long, qid binary, vec binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pair = wanted.groupBy("tree", "leaf", "block").cogroup(filed.groupBy("tree", "leaf", "block"))
-    found = pair.applyInArrow(score, "qid binary, cids array<binary>, scores array<double>")
-    found = found.select("qid", F.explode(F.arrays_zip("cids", "scores")).alias("z")).select("qid", F.col("z.cids").alias("cid"), F.col("z.scores").alias("score"))
-    found = found.groupBy("qid", "cid").agg(F.max("score").alias("score"))  # one class from several trees
-    near = found.join(classes.select("cid", F.element_at("ids", 1).alias("least")), "cid")
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "least", "cid")
-    near = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    found = pair.applyInArrow(score, "qid binary, cids array<binary>, scores array<double>, leasts array<long>")
+    groups = max(1, -(-queries.count() // MERGED))
+    found = found.withColumn("group", F.pmod(F.xxhash64("qid"), F.lit(groups)))
+    near = found.groupBy("group").applyInArrow(merge, "qid binary, cid binary, score double")
     near = near.join(classes.select("cid", "ids"), "cid").groupBy("qid").agg(
         F.sort_array(F.flatten(F.collect_list(F.transform("ids", lambda v: F.struct((-F.col("score")).alias("minus"), v.alias("vec_id")))))).alias("near")
     )
