@@ -338,6 +338,13 @@ def top_residuals(pred: DataFrame, order_key: str, actual: str = "actual", predi
     return e.orderBy(F.desc("abs_error"), F.asc("row_key")).limit(k)
 
 
+def baseline_regression(train: DataFrame, test: DataFrame, target: str) -> DataFrame:
+    """M8: always predict the training mean: r2, mae, rmse on the test rows."""
+    mean = train.agg(F.avg(_q(target).cast("double")).alias("predicted")).withColumn("_o", F.lit(1))
+    scored = test.select(_q(target).cast("double").alias("actual")).withColumn("_o", F.lit(1)).join(F.broadcast(mean), "_o")
+    return regression_metrics(scored.select("actual", "predicted")).select("r2", "mae", "rmse")
+
+
 def baseline_classification(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
     """M8: always predict the training mode (ties -> smallest label)."""
     mode = (

@@ -180,8 +180,8 @@ def cls_metrics(spark, d):
     return E.classification_metrics(rule_predictions(spark, d))
 
 
-def _report_sql():
-    return f"""WITH p AS ({RULE_SQL}), cm AS (SELECT actual, predicted, count(*) AS n FROM p GROUP BY 1, 2),
+def _report_sql(predictions: str = RULE_SQL):
+    return f"""WITH p AS ({predictions}), cm AS (SELECT actual, predicted, count(*) AS n FROM p GROUP BY 1, 2),
 lab AS (SELECT actual AS label FROM cm UNION SELECT predicted FROM cm),
 r AS (SELECT label,
   coalesce((SELECT sum(n) FROM cm WHERE actual = label), 0) AS support,
@@ -266,3 +266,24 @@ def baseline(spark, d):
     ld = labeled_docs(spark, d)
     s = E.stratified_split(ld, "quality", F.struct((F.col("doc_id") * 7919) % 10007, F.col("doc_id"))).cache()
     return E.baseline_classification(s.filter(~F.col("is_test")), s.filter(F.col("is_test")), "quality")
+
+
+_SPLIT_SQL = f"""SELECT *, row_number() OVER (PARTITION BY quality ORDER BY (doc_id * 7919) % 10007, doc_id) <= ceil(count(*) OVER (PARTITION BY quality) * 0.2) AS is_test FROM ({LABELED_SQL}) x"""
+_BASELINE_SQL = f"""SELECT CAST(quality AS VARCHAR) AS actual, (SELECT CAST(quality AS VARCHAR) FROM ({_SPLIT_SQL}) t WHERE NOT is_test GROUP BY quality ORDER BY count(*) DESC, CAST(quality AS VARCHAR) LIMIT 1) AS predicted
+FROM ({_SPLIT_SQL}) s WHERE is_test"""
+oracle("baseline_labeled_docs", f"""WITH rep AS ({_report_sql(_BASELINE_SQL)})
+SELECT round(sum(recall * support) / sum(support), 4) AS accuracy, round(avg(CASE WHEN support > 0 THEN recall END), 4) AS balanced_accuracy,
+  round(sum(f1 * support) / sum(support), 4) AS f1_weighted FROM rep""")
+
+
+@query("baseline_regression_lineitem_price")
+def baseline_regression(spark, d):
+    """M8 for a number: the training mean predicted for every fifth order."""
+    li = T(spark, d, "lineitem")
+    test = F.col("l_orderkey") % 5 == 0
+    return E.baseline_regression(li.filter(~test), li.filter(test), "l_extendedprice")
+
+
+oracle("baseline_regression_lineitem_price", """WITH m AS (SELECT avg(l_extendedprice) AS p FROM lineitem WHERE l_orderkey % 5 <> 0),
+e AS (SELECT l_extendedprice AS a, p, l_extendedprice - p AS e FROM lineitem, m WHERE l_orderkey % 5 = 0)
+SELECT round(1 - (sum(e * e) / count(*)) / var_pop(a), 4) AS r2, round(avg(abs(e)), 4) AS mae, round(sqrt(avg(e * e)), 4) AS rmse FROM e""")
