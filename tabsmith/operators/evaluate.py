@@ -296,6 +296,51 @@ def threshold_curve(pred: DataFrame, positive: str, actual: str = "actual", prob
     )
 
 
+def best_threshold(curve: DataFrame) -> DataFrame:
+    """The threshold of the largest f1, then recall (ties: the smaller one), next to the default 0.5."""
+    default = curve.where(F.col("threshold") == 0.5).select(F.col("f1").alias("default_f1"), F.lit(1).alias("_o"))
+    best = curve.agg(F.max_by(F.struct("threshold", "f1", "recall"), F.struct("f1", "recall", -F.col("threshold"))).alias("b")).withColumn("_o", F.lit(1))
+    return best.join(F.broadcast(default), "_o", "left").select(
+        F.col("b.threshold").alias("recommended_threshold"), F.col("b.f1").alias("f1"), F.col("b.recall").alias("recall"), F.lit(0.5).alias("default_threshold"), "default_f1"
+    )
+
+
+def nearest_threshold(curve: DataFrame, wanted: float) -> DataFrame:
+    """The curve's row nearest to ``wanted`` (ties: the smaller threshold)."""
+    rows = F.struct(*[F.col(c) for c in curve.columns])
+    return curve.agg(F.min_by(rows, F.struct(F.abs(F.col("threshold") - wanted), "threshold")).alias("r")).select("r.*")
+
+
+def diagnostics(pred: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+    """M17, one row: errors, error rate, most frequent confusion (ties: first labels)
+    and the class of the least recall, then f1 (ties: first label)."""
+    cm = confusion_counts(pred, actual, predicted)
+    wrong = F.col("actual") != F.col("predicted")
+    totals = cm.agg(
+        F.sum("count").cast("long").alias("holdout_rows"), F.coalesce(F.sum(F.when(wrong, F.col("count"))), F.lit(0)).cast("long").alias("errors"),
+        F.min(F.when(wrong, F.struct((-F.col("count")).alias("n"), "actual", "predicted"))).alias("c"),
+    )
+    report = class_report(pred, actual, predicted).where(F.col("support") > 0)
+    weakest = report.agg(F.min(F.struct(F.round("recall", 4).alias("recall"), F.round("f1", 4).alias("f1"), "label")).alias("w"))
+    # one row on either side
+    return totals.withColumn("_o", F.lit(1)).join(F.broadcast(weakest.withColumn("_o", F.lit(1))), "_o").select(
+        "holdout_rows", "errors", F.round(F.col("errors") / F.greatest(F.col("holdout_rows"), F.lit(1)), 4).alias("error_rate"),
+        F.col("c.actual").alias("confused_actual"), F.col("c.predicted").alias("confused_predicted"), (-F.col("c.n")).cast("double").alias("confused_count"),
+        F.col("w.label").alias("weakest_class"), F.col("w.recall").alias("weakest_recall"), F.col("w.f1").alias("weakest_f1"),
+    )
+
+
+def prediction_distribution(pred: DataFrame, predicted: str = "predicted") -> DataFrame:
+    """Predictions by label."""
+    return pred.groupBy(_q(predicted).cast("string").alias("label")).agg(F.count(F.lit(1)).cast("long").alias("count"))
+
+
+def mistake_samples(pred: DataFrame, order_by: list[str], actual: str = "actual", predicted: str = "predicted", limit: int = 20) -> DataFrame:
+    """The first misclassified rows in key order (the limit is the feature)."""
+    wrong = pred.where(~_q(actual).cast("string").eqNullSafe(_q(predicted).cast("string")))
+    return wrong.orderBy(*order_by).limit(limit).select(*order_by, _q(actual).cast("string").alias("actual"), _q(predicted).cast("string").alias("predicted"))
+
+
 # ------------------------------------------------------------------ regression metrics
 def regression_metrics(pred: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """M10 + M18 (one row): r2, mae, rmse, mape (actual != 0), mean/median error,

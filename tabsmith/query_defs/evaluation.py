@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.operators import evaluate as E
 from tabsmith.queries import T, query
-from tabsmith.sql_registry import oracle
+from tabsmith.sql_registry import ORACLES, oracle
 
 
 def labeled_docs(spark, d):
@@ -287,3 +287,50 @@ def baseline_regression(spark, d):
 oracle("baseline_regression_lineitem_price", """WITH m AS (SELECT avg(l_extendedprice) AS p FROM lineitem WHERE l_orderkey % 5 <> 0),
 e AS (SELECT l_extendedprice AS a, p, l_extendedprice - p AS e FROM lineitem, m WHERE l_orderkey % 5 = 0)
 SELECT round(1 - (sum(e * e) / count(*)) / var_pop(a), 4) AS r2, round(avg(abs(e)), 4) AS mae, round(sqrt(avg(e * e)), 4) AS rmse FROM e""")
+
+
+@query("best_threshold_rule")
+def best_threshold(spark, d):
+    return E.best_threshold(E.threshold_curve(rule_predictions(spark, d), positive="1"))
+
+
+oracle("best_threshold_rule", f"""WITH c AS ({ORACLES["threshold_curve_rule"]})
+SELECT arg_max(threshold, (f1, recall, -threshold)) AS recommended_threshold, max(f1) AS f1, arg_max(recall, (f1, recall, -threshold)) AS recall,
+  0.5::DOUBLE AS default_threshold, max(f1) FILTER (WHERE threshold = 0.5) AS default_f1 FROM c""")
+
+
+@query("diagnostics_rule")
+def diagnostics(spark, d):
+    return E.diagnostics(rule_predictions(spark, d))
+
+
+oracle("diagnostics_rule", f"""WITH p AS ({RULE_SQL}), c AS (SELECT actual, predicted, count(*) AS n FROM p WHERE actual <> predicted GROUP BY 1, 2),
+r AS (SELECT label, round(recall, 4) AS recall, round(f1, 4) AS f1 FROM ({_report_sql()}) q WHERE support > 0)
+SELECT (SELECT count(*) FROM p) AS holdout_rows, coalesce((SELECT sum(n) FROM c), 0)::BIGINT AS errors, round((SELECT sum(n) FROM c) / (SELECT count(*) FROM p), 4) AS error_rate,
+  (SELECT arg_min(actual, (-n, actual, predicted)) FROM c) AS confused_actual, (SELECT arg_min(predicted, (-n, actual, predicted)) FROM c) AS confused_predicted,
+  (SELECT max(n) FROM c)::DOUBLE AS confused_count, (SELECT arg_min(label, (recall, f1, label)) FROM r) AS weakest_class,
+  (SELECT min(recall) FROM r) AS weakest_recall, (SELECT arg_min(f1, (recall, f1, label)) FROM r) AS weakest_f1""")
+
+
+@query("prediction_distribution_rule")
+def prediction_distribution(spark, d):
+    return E.prediction_distribution(rule_predictions(spark, d))
+
+
+oracle("prediction_distribution_rule", f"SELECT predicted AS label, count(*) AS count FROM ({RULE_SQL}) p GROUP BY 1")
+
+
+@query("mistake_samples_rule")
+def mistake_samples(spark, d):
+    return E.mistake_samples(rule_predictions(spark, d), ["doc_id"])
+
+
+oracle("mistake_samples_rule", f"SELECT doc_id, actual, predicted FROM ({RULE_SQL}) p WHERE actual <> predicted ORDER BY doc_id LIMIT 20")
+
+
+@query("nearest_threshold_rule")
+def nearest_threshold(spark, d):
+    return E.nearest_threshold(E.threshold_curve(rule_predictions(spark, d), positive="1"), 0.46)
+
+
+oracle("nearest_threshold_rule", f"""SELECT * FROM ({ORACLES["threshold_curve_rule"]}) c ORDER BY abs(threshold - 0.46), threshold LIMIT 1""")
