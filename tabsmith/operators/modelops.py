@@ -82,6 +82,11 @@ def champion_signals(models: DataFrame, promotions: DataFrame | None = None) ->
     )
 
 
+def challengers(signals: DataFrame, n: int = 8) -> DataFrame:
+    """The ``n`` best models behind each group's champion, whose rank is 1."""
+    return signals.where(F.col("rank").between(2, n + 1))
+
+
 def promote(promotions: DataFrame, incoming: DataFrame, promoted_at) -> DataFrame:
     """The previous active row of each incoming group becomes ``replaced``;
     the incoming row is inserted as ``active``."""

@@ -334,3 +334,21 @@ def nearest_threshold(spark, d):
 
 
 oracle("nearest_threshold_rule", f"""SELECT * FROM ({ORACLES["threshold_curve_rule"]}) c ORDER BY abs(threshold - 0.46), threshold LIMIT 1""")
+
+
+@query("confidence_summary_rule")
+def confidence_summary(spark, d):
+    """A33 over the rule's scores: the first rows of low confidence as text."""
+    from tabsmith.plans.train import confidence_summary as summary
+
+    p = F.col("probability")
+    scored = rule_predictions(spark, d).withColumn("confidence", F.greatest(p, 1 - p))
+    return summary(scored, "doc_id").withColumn("low_rows", F.array_join(F.col("low_rows").cast("array<string>"), ","))
+
+
+oracle("confidence_summary_rule", f"""WITH p AS (SELECT doc_id, greatest(probability, 1 - probability)::DOUBLE AS c FROM ({RULE_SQL}) r),
+s AS (SELECT count(*) AS rows, round(avg(c), 4) AS average_confidence, round(min(c), 4) AS minimum_confidence, count(*) FILTER (WHERE c >= 0.75) AS high,
+  count(*) FILTER (WHERE c >= 0.55 AND c < 0.75) AS medium, count(*) FILTER (WHERE c < 0.55) AS low FROM p)
+SELECT *, CASE WHEN low > 0 THEN 'Review low-confidence rows before using these predictions in production.' WHEN average_confidence < 0.75
+  THEN 'Predictions are usable, but review medium-confidence rows for business-critical decisions.' ELSE 'Prediction confidence is strong for this batch.' END AS recommendation,
+  (SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FROM (SELECT doc_id FROM p WHERE c < 0.55 ORDER BY doc_id LIMIT 25)) AS low_rows FROM s""")

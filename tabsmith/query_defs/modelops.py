@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tabsmith.operators import modelops as MO
 from tabsmith.queries import T, query
 from tabsmith.oracles import spark_round
-from tabsmith.sql_registry import oracle
+from tabsmith.sql_registry import ORACLES, oracle
 
 
 def models_registry(spark, d):
@@ -82,6 +82,14 @@ FROM m LEFT JOIN r ON r.model_id = m.model_id
 LEFT JOIN c ON c.target_column = m.target_column AND c.problem_type = m.problem_type AND c.primary_metric = m.primary_metric""")
 
 
+@query("challengers_orders")
+def challengers(spark, d):
+    return MO.challengers(champions(spark, d))
+
+
+oracle("challengers_orders", f"SELECT * FROM ({ORACLES['champion_signals_orders']}) c WHERE rank BETWEEN 2 AND 9")
+
+
 def snapshots_registry(spark, d):
     """One monitoring snapshot per event: score = value clipped to 0..100."""
     e = T(spark, d, "events")
