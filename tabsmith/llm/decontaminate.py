@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import pieces, utf8, written
+from tabsmith.llm.common import pieces, small_batches, utf8, written
 from tabsmith.llm.words import NOT_ALNUM, mix, shingles, word_hashes
 
 SEED_WORDS = 3
@@ -192,6 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
     ``text_key`` (Spark's xxhash64 of the text) tells rows apart that share an id.
     """
+    small_batches(docs)
     items = written(item_seeds(benchmark), "items")
     seeds = items.select("item_id", F.explode("seeds").alias("seed")).distinct()
     counts = seed_counts(docs, make_filter(seeds))

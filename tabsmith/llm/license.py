@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import pieces, utf8, written
+from tabsmith.llm.common import pieces, small_batches, utf8, written
 from tabsmith.llm.words import NOT_ALNUM, word_hashes
 
 THRESHOLD = 0.8
@@ -142,6 +142,7 @@ def directory(path: Column) -> Column:
 def license_scan(files: DataFrame, columns: list[str], licence_file: str = LICENCE_FILE, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``columns``, path, own_license, score, license and basis (``own``, ``inherited``, ``none``) and the directory
     ``inherited_from``, for every row of ``files`` (path, text and the columns)."""
+    small_batches(files)
     files = files.withColumn("path", F.col("path").cast("string")).withColumn("text", F.col("text").cast("string"))
     vocabulary = np.unique(word_hashes(*utf8(pa.array([t for _, t in templates], pa.string())), NOT_ALNUM)[0])
     held = files.sparkSession.sparkContext.broadcast(Scanner(templates, *word_counts(files, vocabulary)))  # the templates

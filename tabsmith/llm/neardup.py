@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import pieces, utf8, written
+from tabsmith.llm.common import pieces, small_batches, utf8, written
 from tabsmith.llm.components import components
 from tabsmith.llm.words import mix, shingles, word_hashes
 
@@ -242,6 +242,7 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     ``representative`` marks the rows that stand for their component even where ids are null or repeated: those
     of the least (id, text), and every row with an empty set.
     """
+    small_batches(docs)
     found = written(describe(docs, rule), "signatures")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     classes = written(

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import pieces, worker_cache
+from tabsmith.llm.common import pieces, small_batches, worker_cache
 from tabsmith.llm.unigram import Lattice
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -47,6 +47,7 @@ def _own(part: pa.RecordBatch) -> dict:
 
 def count_tokens(docs: DataFrame, model: bytes, columns: list[str]) -> DataFrame:
     """``columns``, n_tokens and best_score of every text."""
+    small_batches(docs)
     source, kept = _source(docs, columns)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -61,6 +62,7 @@ def count_tokens(docs: DataFrame, model: bytes, columns: list[str]) -> DataFrame
 
 def encode(docs: DataFrame, model: bytes, columns: list[str]) -> DataFrame:
     """``columns``, ids, n_ids and ``round_trip`` (whether the ids decode to the text) of every text."""
+    small_batches(docs)
     source, kept = _source(docs, columns)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -81,6 +83,7 @@ def encode(docs: DataFrame, model: bytes, columns: list[str]) -> DataFrame:
 
 def decode(encoded: DataFrame, model: bytes, columns: list[str]) -> DataFrame:
     """``columns`` and ``decoded`` of every list of ``ids``."""
+    small_batches(encoded)
     source = encoded.select(*columns, F.col("ids").alias("__ids"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "__ids")
     held = encoded.sparkSession.sparkContext.broadcast(model)
