@@ -15,13 +15,33 @@ first rule, the whole text is one segment.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import ahocorasick
 import sentencepiece
 
 MARK = "▁"
 #: Segments whose result a worker keeps, in each of two generations.
-KEEP = 150_000
+KEEP = 300_000
+
+
+class Memo(dict):
+    """Results by segment; of two generations the older is dropped when the newer is full."""
+
+    def __init__(self, work, longest: int):
+        super().__init__()
+        self.work, self.longest, self.old = work, longest, {}
+
+    def __missing__(self, segment: str):
+        found = self.old.get(segment)
+        if found is None:
+            found = self.work(segment)
+        if len(segment) <= self.longest:
+            if len(self) >= KEEP:
+                self.old = dict(self)
+                self.clear()
+            self[segment] = found
+        return found
 
 
 class Lattice:
@@ -47,26 +67,11 @@ class Lattice:
         whole = any(MARK in x.lstrip(MARK) for x in names.values())
         members = re.escape("".join(sorted(inner))) or MARK
         self._cut = re.compile(".+" if whole else f"{MARK}*[{members}]+|{MARK}+|.", re.DOTALL)
-        self._memo: dict[str, dict] = {}
+        self._counts, self._codes = Memo(self._count, 4 * self.longest), Memo(self._encode, 4 * self.longest)
 
     def segments(self, text: str) -> list[str]:
         return self._cut.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def kept(self, kind: str, work, segment: str):
-        """``work(segment)``, remembered; of two generations the older is dropped when the newer is full."""
-        young, old = self._memo.setdefault(kind, {"young": {}, "old": {}}).values()
-        found = young.get(segment)
-        if found is None:
-            found = old.get(segment)
-            if found is None:
-                found = work(segment)
-            if len(segment) <= 4 * self.longest:
-                if len(young) >= KEEP:
-                    self._memo[kind] = {"young": {}, "old": young}
-                    young = self._memo[kind]["young"]
-                young[segment] = found
-        return found
-
     def unknown_ids(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "replace")] if self.bytes else [self.unknown_id]
 
@@ -74,15 +79,10 @@ class Lattice:
 
     def count(self, text: str) -> tuple[int, float]:
         """Pieces of the best path over ``text`` and its score."""
-        pieces, score, unknown = 0, 0.0, False
-        for segment in self.segments(text):
-            n, s = self.kept("count", self._count, segment)
-            if not self.bytes and n == 1 and segment not in self.single and len(segment) == 1:
-                n, unknown = (0 if unknown else 1), True
-            else:
-                unknown = False
-            pieces, score = pieces + n, score + s
-        return pieces, score
+        if not text:
+            return 0, 0.0
+        counts, scores = zip(*map(self._counts.__getitem__, self.segments(text)))
+        return (sum(counts) if self.bytes else len(self.encode(text))), sum(scores)
 
     def _count(self, segment: str) -> tuple[int, float]:
         """Forward only: a ring of the last ``longest`` + 1 places holds best score and piece count."""
@@ -120,13 +120,10 @@ class Lattice:
     # -- operator 4 -----------------------------------------------------------------------------------
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for segment in self.segments(text):
-            found = self.kept("encode", self._encode, segment)
-            if not self.bytes and ids and ids[-1] == self.unknown_id and found == (self.unknown_id,):
-                continue
-            ids.extend(found)
-        return ids
+        ids = list(chain.from_iterable(map(self._codes.__getitem__, self.segments(text))))
+        if self.bytes:
+            return ids
+        return [x for x, before in zip(ids, [-1, *ids]) if x != self.unknown_id or x != before]
 
     def _encode(self, segment: str) -> tuple[int, ...]:
         """Streaming Viterbi: places from the last committed boundary on are held; see :class:`Window`."""
