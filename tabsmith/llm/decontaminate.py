@@ -1,11 +1,13 @@
-"""Benchmark decontamination (operator 10): rare n-gram seeds, then Smith-Waterman alignment.
-
-1. Every run of ``SEED_WORDS`` words of a test item is a seed. One pass over the corpus counts the documents
-   that hold each seed; a Bloom filter of fixed size, sent to all tasks, passes over the other words.
-2. Seeds are rare if few documents hold them next to the item's median seed: at most ``RARE`` times as many.
-   So an item copied into a third of the corpus keeps its seeds, and runs of common words go.
-3. A second pass cuts out the passages around rare seeds, as word hashes; seeds join them to items.
-4. Smith-Waterman (match 2, mismatch -1, gap -1) on words scores each passage against the item, in array
+"""Benchmark decontamination (operator 10): n-gram seeds, then Smith-Waterman alignment.
+
+1. Every run of ``SEED_WORDS`` words of a test item is a seed, however many documents hold it. Items go out to
+   the tasks in blocks of about ``BLOCK_WORDS`` words, one pass over the corpus a block; a Bloom filter of fixed
+   size passes over the other words.
+2. Around each seed, a passage as long as an alignment through it can span is cut out for each item that holds
+   the seed. Words of the item count as matches and all others as mismatches, wherever they stand: the best run's
+   sum is never below the alignment's score, and passages whose sum misses the threshold go. So common seeds,
+   which most often stand alone, cost little, and no copy with a seed is lost for being repeated.
+3. Smith-Waterman (match 2, mismatch -1, gap -1) on words scores each passage left against the item, in array
    operations over many pairs. The score is the best alignment's, over that of the item with itself.
 
 Words are runs of ASCII letters, digits and bytes from 0x80, in lower case. Edge cases: null and empty texts
@@ -16,19 +18,20 @@ table on either side gives no rows. Extra columns are not read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import pieces, small_batches, utf8, written
+from tabsmith.llm.common import pieces, small_batches, table_count, utf8, written
 from tabsmith.llm.words import NOT_ALNUM, mix, shingles, word_hashes
 
 SEED_WORDS = 3
-RARE = 8
+#: Words of the items that are sent to the tasks at a time.
+BLOCK_WORDS = 1 << 19
 #: Bits of the Bloom filter: 4 MB, whatever the number of seeds.
 FILTER_BITS = 1 << 25
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -58,89 +61,97 @@ class Filter:
         return found
 
 
-def make_filter(seeds: DataFrame) -> Filter:
-    """The filter of the column ``seed``, built in tasks; only bitmaps reach the driver, one a partition."""
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            for at in Filter.places(batch.column("seed").to_numpy(zero_copy_only=False).view(np.uint64)):
-                bits[at] = True
-        yield pa.RecordBatch.from_pydict({"bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    total = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in seeds.select("seed").coalesce(4).mapInArrow(fill, "bits binary").toLocalIterator():
-        total |= np.frombuffer(row["bits"], np.uint8)
-    return Filter(total)
-
-
-def item_seeds(benchmark: DataFrame) -> DataFrame:
-    """item_id, words (hashes) and seeds of each test item."""
+def item_words(benchmark: DataFrame) -> DataFrame:
+    """item_id and words (hashes) of each test item that has a seed."""
     source = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
             words, rows = word_hashes(*utf8(part.column("text")), NOT_ALNUM)
-            seeds, at = shingles(words, rows, SEED_WORDS, short=False)
-            lists = [pa.ListArray.from_arrays(pa.array(b.astype(np.int32)), pa.array(v.view(np.int64))) for v, b in ((words, rows), (seeds, at))]
-            yield pa.RecordBatch.from_arrays([part.column("item_id"), *lists], ["item_id", "words", "seeds"])
+            lists = pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(words.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("item_id"), lists], ["item_id", "words"])
 
     kind = source.schema["item_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"item_id {kind}, words array<long>, seeds array<long>").where(F.size("seeds") > 0)
-
-
-def seed_counts(docs: DataFrame, known: Filter) -> DataFrame:
-    """seed, n_docs: the documents that hold each seed that passes the filter."""
-    held = docs.sparkSession.sparkContext.broadcast(known)  # FILTER_BITS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
-            seeds, rows = shingles(*word_hashes(*utf8(part.column("text")), NOT_ALNUM), SEED_WORDS, short=False)
-            at = np.flatnonzero(held.value.find(seeds))
-            if len(at):
-                pair = np.unique(np.stack([np.searchsorted(rows, at, side="right").astype(np.uint64), seeds[at]], axis=1), axis=0)
-                found, n = np.unique(pair[:, 1], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"seed": found.view(np.int64), "n": n.astype(np.int64)})
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n_docs"))
-
-
-def passages(docs: DataFrame, rare: Filter, reach: int) -> DataFrame:
-    """pid, doc_id, text_key, start, words, seeds: runs of words with rare seeds and ``reach`` words to either side."""
-    held = docs.sparkSession.sparkContext.broadcast(rare)  # FILTER_BITS
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    longest = 8 * reach
-
-    def cut(words: np.ndarray, seeds: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for group in np.split(at, np.flatnonzero(np.diff(at) > reach) + 1):
-            first, last = max(0, int(group[0]) - reach), min(len(words), int(group[-1]) + SEED_WORDS + reach)
-            while True:  # long runs in parts that overlap by more than any alignment spans
-                end = last if last - first <= longest else first + longest
-                yield first, words[first:end], np.unique(seeds[group[(group >= first) & (group < end)]])
-                if end == last:
-                    break
-                first = end - 3 * reach
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
-            words, rows = word_hashes(*utf8(part.column("text")), NOT_ALNUM)
-            seeds, bounds = shingles(words, rows, SEED_WORDS, short=False)
-            at = np.flatnonzero(held.value.find(seeds))
-            row = np.searchsorted(bounds, at, side="right") - 1
-            out: dict = {"row": [], "start": [], "words": [], "seeds": []}
-            for r in np.unique(row):
-                own = slice(rows[r], rows[r + 1]), slice(bounds[r], bounds[r + 1])
-                for start, w, s in cut(words[own[0]], seeds[own[1]], at[row == r] - bounds[r]):
-                    for name, value in zip(out, (r, start, w.view(np.int64), s.view(np.int64))):
-                        out[name].append(value)
-            if out["row"]:
-                yield pa.RecordBatch.from_pydict({
-                    "pid": [uuid.uuid4().bytes for _ in out["row"]], "doc_id": part.column("doc_id").take(pa.array(out["row"])),
-                    "text_key": part.column("text_key").take(pa.array(out["row"])), "start": pa.array(out["start"], pa.int64()), "words": pa.array(out["words"], pa.list_(pa.int64())), "seeds": pa.array(out["seeds"], pa.list_(pa.int64())),
-                })
-
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"pid binary, doc_id {kind}, text_key long, start long, words array<long>, seeds array<long>")
+    return source.mapInArrow(run, f"item_id {kind}, words array<long>").where(F.size("words") >= SEED_WORDS)
+
+
+class Items:
+    """A block of test items: which of them hold a seed or a word, and how far alignments reach."""
+
+    def __init__(self, table: pa.Table, kind: str, threshold: float):
+        self.ids, self.kind = table["item_id"].combine_chunks(), kind
+        lists = [np.asarray(x, np.int64).view(np.uint64) for x in table["words"].to_pylist()]
+        self.words, self.length = lists, np.array([len(x) for x in lists], np.int64)
+        flat, bounds = np.concatenate([np.zeros(0, np.uint64), *lists]), np.concatenate([[0], np.cumsum(self.length)]).astype(np.int64)
+        #: Words of a text that an alignment spans at most: 2 * matches - others >= threshold * 2 * length.
+        self.span = np.maximum(SEED_WORDS, np.ceil((3 - 2 * threshold) * self.length).astype(np.int64))
+        self.least = np.maximum(threshold * MATCH * self.length, MATCH * LEAST_MATCHES)
+        seeds, at = shingles(flat, bounds, SEED_WORDS, short=False)
+        pair = np.unique(np.stack([seeds, np.repeat(np.arange(len(lists), dtype=np.uint64), np.diff(at))], axis=1), axis=0)
+        self.seeds, first = np.unique(pair[:, 0], return_index=True)
+        self.first, self.item = np.append(first, len(pair)), pair[:, 1].astype(np.int64)
+        self.cost = np.add.reduceat(2 * self.span[self.item], first) if len(pair) else np.zeros(0, np.int64)
+        self.vocabulary, word = np.unique(flat, return_inverse=True)
+        self.held = np.unique(np.repeat(np.arange(len(lists)), self.length) * len(self.vocabulary) + word)
+        bits = np.zeros(FILTER_BITS, bool)
+        for places in Filter.places(self.seeds):
+            bits[places] = True
+        self.filter = Filter(np.packbits(bits, bitorder="little"))
+
+    def find(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``seeds`` are an item's, and their places in ``self.seeds``."""
+        at = np.flatnonzero(self.filter.find(seeds)) if len(self.seeds) else np.zeros(0, np.int64)
+        place = np.minimum(np.searchsorted(self.seeds, seeds[at]), len(self.seeds) - 1)
+        real = self.seeds[place] == seeds[at]
+        return at[real], place[real]
+
+    def passages(self, words: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Row, item, first and last word (exclusive) of the passages that may reach the threshold."""
+        seeds, bounds = shingles(words, rows, SEED_WORDS, short=False)
+        at, place = self.find(seeds)
+        row = np.searchsorted(bounds, at, side="right") - 1
+        at = rows[row] + at - bounds[row]
+        part = np.cumsum(self.cost[place]) // CELLS
+        for hits in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
+            if len(hits):
+                yield self._cut(words, rows, row[hits], at[hits], place[hits])
+
+    def _cut(self, words: np.ndarray, rows: np.ndarray, row: np.ndarray, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        item, hit = self.item[_ranges(self.first[place], self.first[place + 1])], np.repeat(np.arange(len(at)), np.diff(self.first)[place])
+        row, at = row[hit], at[hit]
+        order = np.lexsort((at, item, row))
+        row, item, at = row[order], item[order], at[order]
+        far = self.span[item] - SEED_WORDS
+        start, end = np.maximum(rows[row], at - far), np.minimum(rows[row + 1], at + SEED_WORDS + far)
+        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] > end[:-1])]))
+        row, item, start, end = row[new], item[new], start[new], end[np.append(new[1:], len(end)) - 1]
+        # long runs in parts that overlap by as much as any alignment spans
+        over = self.span[item]
+        n = np.maximum(1, -(-(end - start - over) // (8 * over)))
+        k = _ranges(np.zeros(len(n), np.int64), n)
+        row, item, start, end, over = (np.repeat(x, n) for x in (row, item, start, end, over))
+        start = start + 8 * over * k
+        end = np.minimum(end, start + 9 * over)
+        good = self._bound(words, item, start, end) >= self.least[item]
+        return row[good], item[good], start[good], end[good]
+
+    def _bound(self, words: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each passage the largest sum of a run: ``MATCH`` for a word of the item, ``MISMATCH`` for another."""
+        own, size = words[_ranges(start, end)], end - start
+        which = np.repeat(np.arange(len(item)), size)
+        at = np.minimum(np.searchsorted(self.vocabulary, own), len(self.vocabulary) - 1)
+        key = item[which] * len(self.vocabulary) + at
+        near = np.minimum(np.searchsorted(self.held, key), len(self.held) - 1)
+        gain = np.where((self.vocabulary[at] == own) & (self.held[near] == key), MATCH, MISMATCH)
+        total, apart = np.cumsum(gain), which * (4 * len(gain) + 4)  # sets passages apart
+        low = np.minimum.accumulate(total - gain - apart) + apart
+        return np.maximum.reduceat(total - low, np.cumsum(size) - size)
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """start[i] .. end[i] - 1 for each i, end to end."""
+    size = end - start
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
 def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,37 +198,41 @@ def _table(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray
     return best, end
 
 
+def aligned(docs: DataFrame, items: Items) -> DataFrame:
+    """doc_id, text_key, item_id, score, net_matches, start, end of the passages that reach the threshold."""
+    held = docs.sparkSession.sparkContext.broadcast(items)  # BLOCK_WORDS
+    source = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = held.value
+        for part in pieces(batches):
+            words, rows = word_hashes(*utf8(part.column("text")), NOT_ALNUM)
+            for row, item, start, end in items.passages(words, rows):
+                score, first, last = align([items.words[i].view(np.int64) for i in item], [words[a:b].view(np.int64) for a, b in zip(start, end)])
+                good = np.flatnonzero(score >= items.least[item])
+                row, item, start = row[good], item[good], (start - rows[row])[good]
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": part.column("doc_id").take(pa.array(row)), "text_key": part.column("text_key").take(pa.array(row)), "item_id": items.ids.take(pa.array(item)),
+                    "score": score[good] / (MATCH * items.length[item]), "net_matches": score[good] // MATCH, "start": start + first[good], "end": start + last[good],
+                })
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(run, f"doc_id {kind}, text_key long, item_id {items.kind}, score double, net_matches long, start long, end long")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text_key, item_id, score, net_matches, start, end (words of the document) of each copy found.
 
     ``text_key`` (Spark's xxhash64 of the text) tells rows apart that share an id.
     """
     small_batches(docs)
-    items = written(item_seeds(benchmark), "items")
-    seeds = items.select("item_id", F.explode("seeds").alias("seed")).distinct()
-    counts = seed_counts(docs, make_filter(seeds))
-    usual = seeds.join(counts, "seed").groupBy("item_id").agg(F.percentile_approx("n_docs", 0.5).alias("usual"))
-    rare = seeds.join(counts, "seed").join(usual, "item_id").where(F.col("n_docs") <= RARE * F.col("usual"))
-    rare = written(rare.select("item_id", "seed"), "rare-seeds")
-    longest = items.agg(F.max(F.size("words"))).first()[0] or 0
-    found = written(passages(docs, make_filter(rare), int(1.5 * longest)), "passages")
-    pairs = found.select("pid", F.explode("seeds").alias("seed")).join(rare, "seed").select("pid", "item_id").distinct()
-    sides = pairs.join(found.select("pid", "doc_id", "text_key", "start", "words"), "pid").join(items.select("item_id", F.col("words").alias("item")), "item_id")
-    sides = sides.select("doc_id", "text_key", "item_id", "start", "words", "item")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            item, words = ([np.asarray(x) for x in batch.column(c).to_numpy(zero_copy_only=False)] for c in ("item", "words"))
-            score, first, last = align(item, words)
-            own = np.array([MATCH * len(x) for x in item])
-            start = batch.column("start").to_numpy()
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "item_id": batch.column("item_id"), "score": score / own, "net_matches": score // MATCH,
-                "start": start + first, "end": start + last,
-            })
-
-    kinds = [f"{n} {sides.schema[n].dataType.simpleString()}" for n in ("doc_id", "text_key", "item_id")]
-    scored = sides.mapInArrow(run, f"{', '.join(kinds)}, score double, net_matches long, start long, end long")
-    scored = scored.where((F.col("score") >= threshold) & (F.col("net_matches") >= LEAST_MATCHES))
+    items = written(item_words(benchmark), "items")
+    n = table_count(items.agg(F.sum(F.size("words"))).first()[0], BLOCK_WORDS)
+    found = []
+    for block in range(n):
+        own = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n)) == block).toArrow()  # BLOCK_WORDS
+        copies = aligned(docs, Items(own, items.schema["item_id"].dataType.simpleString(), threshold))
+        found.append(copies if n == 1 else written(copies, "aligned"))
+    scored = reduce(DataFrame.unionAll, found)
     best = scored.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("score", -F.col("start"), "net_matches", "end")).alias("m"))
     return best.select("doc_id", "text_key", "item_id", "m.score", "m.net_matches", (-F.col("m.col2")).alias("start"), "m.end")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabsmith.llm import decontaminate as D
@@ -72,3 +73,40 @@ def test_empty_sides(docs, spark, tables):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.contaminated(docs(rows), none).collect() == []
     assert D.contaminated(docs(rows).limit(0), spark.createDataFrame(benchmark, "item_id long, text string")).collect() == []
+
+
+def test_repeated_edited_copies_are_found_beside_an_exact_one(docs, spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_WORDS", 60)  # several blocks of items
+    rng = random.Random(4)
+    items = [words(rng, 40) for _ in range(4)]
+    edited = [w if i % 5 else f"other{i}" for i, w in enumerate(items[0])]
+    rows = [(0, " ".join(items[0]))] + [(1 + k, " ".join(words(rng, k) + edited + words(rng, 9))) for k in range(30)]
+    rows += [(100 + k, " ".join(words(rng, 30) + items[0][3:6] + words(rng, 30))) for k in range(30)]  # a seed alone
+    rows += [(200, " ".join(items[0][3:6] * 4000 + edited)), (201, " ".join(items[1] * 50))]
+    got = found(docs, spark, rows, [(i, " ".join(w)) for i, w in enumerate(items)])
+    assert sorted((r.doc_id, r.item_id) for r in got) == [*((k, 0) for k in range(31)), (200, 0), (201, 1)]
+    by = {r.doc_id: r for r in got}
+    score = smith_waterman(items[0], edited) / 80
+    assert score > D.THRESHOLD and all(by[k].score >= score for k in range(1, 31)) and by[0].score == by[201].score == 1
+
+
+def test_bound_is_never_below_the_alignment():
+    rng = random.Random(9)
+    texts = [[rng.randint(1, 30) for _ in range(rng.randint(3, 120))] for _ in range(60)]
+    lists = [[rng.randint(1, 30) for _ in range(rng.randint(6, 12))] for _ in range(8)]
+    items = D.Items(pa.table({"item_id": list(range(8)), "words": pa.array(lists, pa.list_(pa.int64()))}), "bigint", D.THRESHOLD)
+    flat, rows = np.array(sum(texts, []), np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    got = {}
+    for row, item, start, end in items.passages(flat, rows):
+        score, _, _ = D.align([items.words[i] for i in item], [flat[a:b] for a, b in zip(start, end)])
+        for r, i, s in zip(row, item, score):
+            got[r, i] = max(got.get((r, i), 0), s)
+    for r, text in enumerate(texts):
+        for i, own in enumerate(lists):
+            shared = {tuple(own[k : k + 3]) for k in range(len(own) - 2)} & {tuple(text[k : k + 3]) for k in range(len(text) - 2)}
+            best = smith_waterman(own, text)
+            if best < items.least[i]:
+                assert got.get((r, i), 0) < items.least[i]
+            elif shared and (r, i) in got:
+                assert got[r, i] <= best
+            assert (r, i) not in got or shared
