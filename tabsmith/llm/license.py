@@ -4,6 +4,9 @@
    is a candidate. Its vector has tf * idf for each word; idf counts the records of the whole table that hold
    the word, for the words of the templates; any other word weighs as one that no record holds. The best cosine
    to a template over all candidates decides; from ``THRESHOLD`` on the record carries that license itself.
+   Besides, a window of each template's length slides over the words of the whole text, whatever its size, with
+   lines joined and tags left out (a shorter text is one window); a window from ``THRESHOLD`` on counts like a
+   candidate. Templates are notices, headers and full texts.
 2. Records whose path matches ``licence_file`` speak for their directory: its license is the one most of them
    carry (ties: the larger best cosine, then the smaller name).
 3. A record without a license of its own inherits that of its nearest ancestor directory that has one: distinct
@@ -25,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.llm.common import pieces, small_batches, utf8, written
+from tabsmith.llm.license_texts import FULL_TEXTS, HEADERS
 from tabsmith.llm.words import NOT_ALNUM, word_hashes
 
 THRESHOLD = 0.8
@@ -32,8 +36,9 @@ THRESHOLD = 0.8
 SHORT = 300
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|copyright|notice|unlicense)([._-][^/]*)?$"
 _CUT = r"<[^>]*>|\n|[.!?] "
+_TAG = r"</?[A-Za-z!?][^<>]*>"
 
-# Short public notices of common licenses.
+# Short public notices of common licenses, the usual headers, full texts.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
@@ -52,6 +57,8 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    *HEADERS,
+    *FULL_TEXTS,
 )
 
 
@@ -69,6 +76,28 @@ def candidates(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([words, *more]), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([record, whole])
 
 
+def joined(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of the whole texts without tags, and their bounds."""
+    return word_hashes(*utf8(pc.replace_substring_regex(pc.fill_null(text, "").cast(pa.large_string()), _TAG, " ")), NOT_ALNUM)
+
+
+def window_norms(words: np.ndarray, weight: np.ndarray, length: int) -> np.ndarray:
+    """Sum of (count * weight) ** 2 over the distinct words of each window of ``length`` words."""
+    n, square = len(words), weight * weight
+    code = np.unique(words, return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    key, rank = code[order] * (n + 1) + order, np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    out, new = np.arange(n - length), np.arange(length, n)
+    left = np.searchsorted(key, code[out] * (n + 1) + out + length) - rank[out]  # the leaving word's count in its window
+    held = rank[new] - np.searchsorted(key, code[new] * (n + 1) + out + 1)  # the new word's count before it comes
+    first = np.bincount(code[:length])
+    one = np.zeros(len(first))
+    one[code[:length]] = square[:length]
+    steps = square[out] * (1 - 2 * left) + square[new] * (2 * held + 1)
+    return np.concatenate([[0.0], np.cumsum(steps)]) + (first * first * one).sum()
+
+
 class Scanner:
     """Cosines of candidates to the templates, given how many of ``n`` records hold each template word."""
 
@@ -84,6 +113,7 @@ class Scanner:
             at = np.searchsorted(self.vocabulary, own)
             self.matrix[i, at] = count * self.idf[at]
         self.matrix /= np.maximum(np.linalg.norm(self.matrix, axis=1, keepdims=True), 1e-300)
+        self.lengths = np.diff(bounds)
 
     def best(self, words: np.ndarray, bounds: np.ndarray, record: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Index of the best template (-1: no common word) and its cosine, for each of ``n`` records."""
@@ -114,6 +144,37 @@ class Scanner:
         return which, score
 
 
+    def best_window(self, words: np.ndarray, bounds: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the template with the best window from ``threshold`` on (-1: none) and its cosine, for each record."""
+        n = len(bounds) - 1
+        which, score = np.full(n, -1), np.zeros(n)
+        if not len(words):
+            return which, score
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        at[self.vocabulary[at] != words] = len(self.vocabulary)
+        weight = np.append(self.idf, self.other)[at]
+        squares = np.concatenate([[0.0], np.cumsum(weight * weight)])
+        row = np.repeat(np.arange(n), np.diff(bounds))
+        begin, stop, place = bounds[row], bounds[row + 1], np.arange(len(words))
+        ends = {}
+        for i, length in enumerate(self.lengths):
+            if length not in ends:
+                ends = {length: (np.minimum(place + length, stop), (place + length <= stop) | (place == begin))}
+            end, valid = ends[length]
+            total = np.concatenate([[0.0], np.cumsum(np.append(self.idf * self.matrix[i], 0.0)[at])])
+            dot = total[end] - total[:-1]
+            # a word's squared count is its count at least, so no cosine lies above this
+            near = valid & (dot * dot >= (threshold * threshold - 1e-6) * (squares[end] - squares[:-1])) & (dot > 1e-9)
+            for r in np.unique(row[near]):
+                a, b = bounds[r], bounds[r + 1]
+                size = min(length, b - a)
+                norm = window_norms(words[a:b], weight[a:b], size)
+                value = float((dot[a : b - size + 1] / np.sqrt(norm)).max())
+                if value >= threshold and value > score[r] + 1e-9:
+                    which[r], score[r] = i, min(value, 1.0)
+        return which, score
+
+
 def word_counts(files: DataFrame, vocabulary: np.ndarray) -> tuple[dict[int, int], int]:
     """How many records hold each word of ``vocabulary``, and the number of records."""
 
@@ -153,6 +214,9 @@ def license_scan(files: DataFrame, columns: list[str], licence_file: str = LICEN
         scanner = held.value
         for part in pieces(batches):
             which, score = scanner.best(*candidates(part.column("text")), part.num_rows)
+            window, value = scanner.best_window(*joined(part.column("text")), threshold)
+            better = (window >= 0) & (value > score + 1e-9)
+            which, score = np.where(better, window, which), np.where(better, value, score)
             own = [scanner.names[w] if w >= 0 and s >= threshold else None for w, s in zip(which, score)]
             yield pa.RecordBatch.from_pydict({n: part.column(n) for n in kept} | {"own_license": pa.array(own, pa.string()), "score": score})
 

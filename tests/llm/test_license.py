@@ -1,8 +1,13 @@
 import math
+import random
 import re
+import textwrap
 from collections import Counter
 
-from tabsmith.llm.license import TEMPLATES, license_scan
+import numpy as np
+
+from tabsmith.llm.license import TEMPLATES, license_scan, window_norms
+from tabsmith.llm.license_texts import FULL_TEXTS, HEADERS
 
 FILES = [
     ("a/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
@@ -53,3 +58,27 @@ def test_scores_and_inheritance(spark):
 def test_empty_table(spark):
     table = spark.createDataFrame([], "id long, path string, text string")
     assert license_scan(table, ["id"]).collect() == []
+
+
+def test_wrapped_headers_linked_notices_and_full_texts_in_long_files(spark):
+    rng = random.Random(6)
+    body = lambda n: " ".join(f"id{rng.randint(0, 4000)}" for _ in range(n))
+    wrap = lambda t: "\n".join("// " + x for x in textwrap.wrap(" ".join(t.split()), 60))
+    rows, want = [], {}
+    for k, (name, text) in enumerate([*HEADERS, *FULL_TEXTS]):
+        rows.append((f"f{k}/x.c", f"// Copyright 2020 A. Author\n{wrap(text)}\n\n{body(900)}"))
+        want[f"f{k}/x.c"] = name
+    rows += [("page/a", f"<p>{body(400)}</p><p>Released under the <a href='/mit'>MIT License</a></p><p>{body(400)}</p>"), ("none/b", body(2000))]
+    rows.append(("gpl/c", body(800) + "\n" + wrap(HEADERS[1][1].replace("software;", "software:") + ". If not, see <https://www.gnu.org/licenses/>.") + "\n" + body(900)))
+    want |= {"page/a": "MIT", "none/b": None, "gpl/c": "GPL-3.0"}
+    got = license_scan(spark.createDataFrame(rows, "path string, text string").repartition(4), []).collect()
+    assert {r.path: r.own_license for r in got} == want
+
+
+def test_window_norms_match_counts():
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 9, 60)
+    weight = rng.random(9)[words]
+    for length in (1, 7, 60):
+        plain = [sum((n * weight[list(words).index(w)]) ** 2 for w, n in Counter(words[i : i + length]).items()) for i in range(61 - length)]
+        assert np.allclose(window_norms(words, weight, length), plain)
