@@ -91,13 +91,14 @@ def bounded_sample(rows: DataFrame, n: int, seed: int, keys: list[str], group: s
     """The ``n`` distinct rows (of each ``group``) that a seeded hash of ``keys`` puts first.
 
     A share is cut off by the hash before rows are ranked, so that about 2n rows meet in a task, whatever the
-    table's size; repeated keys count once.
+    table's size; repeated keys count once, also in a group's share, which goes by a sketch of its distinct keys.
+    Without groups the keys must be distinct for a full sample.
     """
     names = [group] if group else []
     place = F.xxhash64(F.lit(seed), *keys)
     share = F.pmod(place, F.lit(1 << 30)) < (F.lit(float(1 << 30)) * (2 * n + 100) / F.col("__n"))
     if group:
-        joined = rows.join(F.broadcast(rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))), group)  # one row a group
+        joined = rows.join(F.broadcast(rows.groupBy(group).agg(F.approx_count_distinct(place).alias("__n"))), group)  # one row a group
     else:
         joined = rows.withColumn("__n", F.lit(rows.count()))
     first = Window.partitionBy(*names, *([] if group else [F.lit(0)])).orderBy(place, *keys)

@@ -7,7 +7,8 @@ next shorter context, down to 1 / 256 (n: bytes seen in the context, d: distinct
 smallest total code length over the whole text wins; ties go to the smaller name.
 
 Training takes a bounded sample: at most ``SAMPLE_DOCS`` different texts a language, the first by a seeded
-hash, of at most ``SAMPLE_TEXT`` bytes each. Prediction takes every byte of every text, in vectorised batches.
+hash, of at most ``SAMPLE_TEXT`` bytes each; longer texts give a seeded slice of that size. Prediction takes
+every byte of every text, in vectorised batches.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; so is everything if nothing could
 be learned. Rows are never dropped, repeated ids give repeated rows.
@@ -134,7 +135,12 @@ def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_text: int = SAM
     """Learn from ``train`` (text, lang); rows without text, letter or lang teach nothing."""
     small_batches(train)
     rows = train.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") <= sample_text) & F.col("text").rlike(r"\p{L}"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    size = F.octet_length("text")
+    first = F.pmod(F.xxhash64(F.lit(17), "text"), size - sample_text + 1).cast("int") + 1
+    part = F.make_valid_utf8(F.substring(F.col("text").cast("binary"), first, F.lit(sample_text)).cast("string"))
+    part = F.btrim(part, F.lit("\ufffd"))  # characters cut at the ends
+    rows = rows.withColumn("text", F.when(size <= sample_text, F.col("text")).otherwise(part))
     rows = bounded_sample(rows, sample_docs, 11, ["text"], "lang")
 
     def count(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,3 +67,21 @@ def test_held_out_accuracy(spark):
     got = QUERIES["op1_language_id"](spark, SMOKE).join(spark.read.parquet(f"{SMOKE}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = got.where("held_out").toPandas()
     assert (held.lang_pred == held.lang).mean() > 0.95
+
+
+def test_learns_languages_of_long_texts_and_of_copies(docs):
+    long = "\n".join(f"рядок номер {i} про кота і собаку" for i in range(300))
+    rows = TRAIN + [(200 + i, f"{i} {long}", "uk") for i in range(3)]
+    model = langid.fit(docs(rows), sample_text=1000)
+    assert model.names == ["de", "en", "uk"]
+    assert model.predict(pa.array(["кіт і собака", long, "the dog"]))[0] == ["uk", "uk", "en"]
+    assert model.trees[2].levels[0][0].max() < 0xF0  # no broken characters
+    assert 0xEF not in model.trees[2].levels[0][0]
+
+
+def test_sample_is_full_in_a_table_of_copies(docs):
+    from tabsmith.llm.common import bounded_sample
+
+    rows = [(i, f"text {i}", "en") for i in range(400)] + [(1000 + i, "copy", "en") for i in range(20_000)]
+    got = bounded_sample(docs(rows).select("text", "lang"), 300, 11, ["text"], "lang")
+    assert got.count() == got.distinct().count() == 300
