@@ -10,7 +10,10 @@
 3. Smith-Waterman (match 2, mismatch -1, gap -1) on words scores each passage left against the item, in array
    operations over many pairs. The score is the best alignment's, over that of the item with itself.
 
-Words are runs of ASCII letters, digits and bytes from 0x80, in lower case. Edge cases: null and empty texts
+Words are runs of ASCII letters, digits and bytes from 0x80, in lower case; in scripts written without spaces
+(Chinese, Japanese, Thai, Lao, Burmese, Khmer, Tibetan) each character is a word, and their punctuation is none.
+Items of fewer than ``LEAST_MATCHES`` words must be copied whole and exactly. What can't match: items of fewer than
+``SEED_WORDS`` words, and copies without ``SEED_WORDS`` words of the item in a row. Edge cases: null and empty texts
 match nothing; items with fewer than ``SEED_WORDS`` words have no seed and match nothing; repeated rows are
 judged one by one, and rows equal in id and text give one row an item; equal scores go to the earlier passage. An empty
 table on either side gives no rows. Extra columns are not read.
@@ -34,6 +37,14 @@ SEED_WORDS = 3
 BLOCK_WORDS = 1 << 19
 #: Bits of the Bloom filter: 4 MB, whatever the number of seeds.
 FILTER_BITS = 1 << 25
+#: Code points of unspaced scripts (1) and of their punctuation (2): first, last, kind.
+_SCRIPTS = (
+    (0x0E00, 0x0FFF, 1), (0x1000, 0x109F, 1), (0x1780, 0x17FF, 1), (0x3000, 0x3004, 2), (0x3005, 0x3007, 1), (0x3008, 0x3020, 2), (0x3021, 0x302F, 1),
+    (0x3030, 0x3030, 2), (0x3031, 0x30FA, 1), (0x30FB, 0x30FB, 2), (0x30FC, 0x312F, 1), (0x31A0, 0x31FF, 1), (0x3400, 0x9FFF, 1), (0xF900, 0xFAFF, 1),
+    (0xFF01, 0xFF0F, 2), (0xFF1A, 0xFF20, 2), (0xFF3B, 0xFF40, 2), (0xFF5B, 0xFF65, 2), (0xFF66, 0xFF9F, 1), (0x20000, 0x3FFFF, 1),
+)
+_EDGES = np.array([x for first, last, _ in _SCRIPTS for x in (first, last + 1)])
+_KIND = np.array([0, *(x for _, _, kind in _SCRIPTS for x in (kind, 0))])
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the item's own score, and score in matched words, from which a document is contaminated.
 THRESHOLD, LEAST_MATCHES = 0.5, 6
@@ -61,13 +72,34 @@ class Filter:
         return found
 
 
+def spaced(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with spaces around each character of the unspaced scripts, and for their punctuation."""
+    lead = np.flatnonzero(data >= 0xE0)
+    if not len(lead):
+        return data, bounds
+    size = np.where(data[lead] >= 0xF0, 4, 3)
+    tail = [data[np.minimum(lead + j, len(data) - 1)].astype(np.int64) & 0x3F for j in (1, 2, 3)]
+    point = (data[lead].astype(np.int64) & 0x0F) << 12 | tail[0] << 6 | tail[1]
+    point = np.where(size == 4, (data[lead].astype(np.int64) & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2], point)
+    kind = np.searchsorted(_EDGES, point, side="right")
+    whole = lead + size <= len(data)
+    single, mark = whole & (_KIND[kind] == 1), whole & (_KIND[kind] == 2)
+    if not (single.any() or mark.any()):
+        return data, bounds
+    data = data.copy()
+    for j in range(3):  # all marks have three bytes
+        data[lead[mark] + j] = 0x20
+    at = np.stack([lead[single], lead[single] + size[single]], axis=1).ravel()
+    return np.insert(data, at, 0x20), bounds + 2 * np.searchsorted(lead[single], bounds)
+
+
 def item_words(benchmark: DataFrame) -> DataFrame:
     """item_id and words (hashes) of each test item that has a seed."""
     source = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
-            words, rows = word_hashes(*utf8(part.column("text")), NOT_ALNUM)
+            words, rows = word_hashes(*spaced(*utf8(part.column("text"))), NOT_ALNUM)
             lists = pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(words.view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("item_id"), lists], ["item_id", "words"])
 
@@ -85,7 +117,7 @@ class Items:
         flat, bounds = np.concatenate([np.zeros(0, np.uint64), *lists]), np.concatenate([[0], np.cumsum(self.length)]).astype(np.int64)
         #: Words of a text that an alignment spans at most: 2 * matches - others >= threshold * 2 * length.
         self.span = np.maximum(SEED_WORDS, np.ceil((3 - 2 * threshold) * self.length).astype(np.int64))
-        self.least = np.maximum(threshold * MATCH * self.length, MATCH * LEAST_MATCHES)
+        self.least = np.maximum(threshold * MATCH * self.length, MATCH * np.minimum(LEAST_MATCHES, self.length))
         seeds, at = shingles(flat, bounds, SEED_WORDS, short=False)
         pair = np.unique(np.stack([seeds, np.repeat(np.arange(len(lists), dtype=np.uint64), np.diff(at))], axis=1), axis=0)
         self.seeds, first = np.unique(pair[:, 0], return_index=True)
@@ -206,7 +238,7 @@ def aligned(docs: DataFrame, items: Items) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = held.value
         for part in pieces(batches):
-            words, rows = word_hashes(*utf8(part.column("text")), NOT_ALNUM)
+            words, rows = word_hashes(*spaced(*utf8(part.column("text"))), NOT_ALNUM)
             for row, item, start, end in items.passages(words, rows):
                 score, first, last = align([items.words[i].view(np.int64) for i in item], [words[a:b].view(np.int64) for a, b in zip(start, end)])
                 good = np.flatnonzero(score >= items.least[item])

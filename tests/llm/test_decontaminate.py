@@ -110,3 +110,22 @@ def test_bound_is_never_below_the_alignment():
             elif shared and (r, i) in got:
                 assert got[r, i] <= best
             assert (r, i) not in got or shared
+
+
+def test_short_items_and_unspaced_scripts(docs, spark):
+    han = "关于北京的问题,哪一个答案是正确的呢。请选择最合适的一项"
+    thai, kana = "ประเทศไทยมีเมืองหลวงชื่ออะไร", "日本の首都はどこですか、答えてください"
+    benchmark = [(1, "four words in all"), (2, han), (3, thai), (4, kana), (5, "two words"), (6, "a b c")]
+    edited = han.replace(",", ",").replace("正确", "准确").replace("合适", "适当")
+    rows = [(1, "so Four, words in ALL here"), (2, "four words in none all"), (3, "前言很长。" + edited + "后记也长。"), (4, "คำนำ" + thai), (5, "はい" + kana + "。")]
+    rows += [(6, "两个不同的句子在这里"), (7, "two words"), (8, "x a b c y"), (9, "a b d c"), (10, ""), (11, "é 中"), (12, "𠀀𠀁" + han)]
+    got = found(docs, spark, rows, benchmark)
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (3, 2), (4, 3), (5, 4), (8, 6), (12, 2)]
+    assert all(r.score == 1 for r in got if r.doc_id != 3)
+
+
+def test_spaces_go_around_single_characters():
+    texts = ["ab中c", "", "é𠀀", "中", "。x", "plain", "文"]
+    data, bounds = D.spaced(*D.utf8(pa.array(texts)))
+    cut = [data[a:b].tobytes().decode() for a, b in zip(bounds, bounds[1:])]
+    assert cut == ["ab 中 c", "", "é 𠀀 ", " 中 ", "   x", "plain", " 文 "]
