@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import pathlib
 import tempfile
@@ -116,7 +117,31 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
-        pa.default_memory_pool().release_unused()
+        give_back()
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: several Python workers and a JVM share an executor's."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc() -> ctypes.CDLL | None:
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+_LIBC = _libc()
+
+
+def byte_slices(n: int, limit: int) -> Iterator[tuple[int, int]]:
+    """[0, n) in slices of ``limit``."""
+    for a in range(0, n, limit):
+        yield a, min(a + limit, n)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -136,8 +161,13 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker does, for state that every task would build again."""
+def worker_cache(owner: str) -> dict:
+    """A dict for state that every task would build again. It lives as long as the Python worker, or until another
+    operator asks for its own: workers serve all operators of a session in turn, and only one's state counts."""
+    if _CACHE.get("owner") != owner:
+        _CACHE.clear()
+        _CACHE["owner"] = owner
+        give_back()
     return _CACHE
 
 

@@ -12,9 +12,10 @@
 
 Words are runs of ASCII letters, digits and bytes from 0x80, in lower case; in scripts written without spaces
 (Chinese, Japanese, Thai, Lao, Burmese, Khmer, Tibetan) each character is a word, and their punctuation is none.
-Items of fewer than ``LEAST_MATCHES`` words must be copied whole and exactly. What can't match: items of fewer than
-``SEED_WORDS`` words, and copies without ``SEED_WORDS`` words of the item in a row. Edge cases: null and empty texts
-match nothing; items with fewer than ``SEED_WORDS`` words have no seed and match nothing; repeated rows are
+A match needs ``LEAST_MATCHES`` words, or half of the item's, whichever is more, so the share of an item that must be
+there falls from all of it (up to ``LEAST_MATCHES`` words) to a half (twice as many). An item of fewer than
+``SEED_WORDS`` words is its own seed, so a copy of it is found wherever it stands. What can't match: copies without
+``SEED_WORDS`` words of a longer item in a row. Edge cases: null and empty texts and items match nothing; repeated rows are
 judged one by one, and rows equal in id and text give one row an item; equal scores go to the earlier passage. An empty
 table on either side gives no rows. Extra columns are not read.
 """
@@ -104,7 +105,7 @@ def item_words(benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("item_id"), lists], ["item_id", "words"])
 
     kind = source.schema["item_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"item_id {kind}, words array<long>").where(F.size("words") >= SEED_WORDS)
+    return source.mapInArrow(run, f"item_id {kind}, words array<long>").where(F.size("words") > 0)
 
 
 class Items:
@@ -116,9 +117,11 @@ class Items:
         self.words, self.length = lists, np.array([len(x) for x in lists], np.int64)
         flat, bounds = np.concatenate([np.zeros(0, np.uint64), *lists]), np.concatenate([[0], np.cumsum(self.length)]).astype(np.int64)
         #: Words of a text that an alignment spans at most: 2 * matches - others >= threshold * 2 * length.
-        self.span = np.maximum(SEED_WORDS, np.ceil((3 - 2 * threshold) * self.length).astype(np.int64))
+        self.span = np.maximum(np.minimum(SEED_WORDS, self.length), np.ceil((3 - 2 * threshold) * self.length).astype(np.int64))
         self.least = np.maximum(threshold * MATCH * self.length, MATCH * np.minimum(LEAST_MATCHES, self.length))
-        seeds, at = shingles(flat, bounds, SEED_WORDS, short=False)
+        #: Lengths of seeds: all of a short item, ``SEED_WORDS`` words of the others.
+        self.widths = np.unique(np.minimum(SEED_WORDS, self.length)).tolist()
+        seeds, at = shingles(flat, bounds, SEED_WORDS)
         pair = np.unique(np.stack([seeds, np.repeat(np.arange(len(lists), dtype=np.uint64), np.diff(at))], axis=1), axis=0)
         self.seeds, first = np.unique(pair[:, 0], return_index=True)
         self.first, self.item = np.append(first, len(pair)), pair[:, 1].astype(np.int64)
@@ -139,22 +142,23 @@ class Items:
 
     def passages(self, words: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Row, item, first and last word (exclusive) of the passages that may reach the threshold."""
-        seeds, bounds = shingles(words, rows, SEED_WORDS, short=False)
-        at, place = self.find(seeds)
-        row = np.searchsorted(bounds, at, side="right") - 1
-        at = rows[row] + at - bounds[row]
-        part = np.cumsum(self.cost[place]) // CELLS
-        for hits in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
-            if len(hits):
-                yield self._cut(words, rows, row[hits], at[hits], place[hits])
-
-    def _cut(self, words: np.ndarray, rows: np.ndarray, row: np.ndarray, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        for width in self.widths:
+            seeds, bounds = shingles(words, rows, width, short=False)
+            at, place = self.find(seeds)
+            row = np.searchsorted(bounds, at, side="right") - 1
+            at = rows[row] + at - bounds[row]
+            part = np.cumsum(self.cost[place]) // CELLS
+            for hits in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
+                if len(hits):
+                    yield self._cut(words, rows, row[hits], at[hits], place[hits], width)
+
+    def _cut(self, words: np.ndarray, rows: np.ndarray, row: np.ndarray, at: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
         item, hit = self.item[_ranges(self.first[place], self.first[place + 1])], np.repeat(np.arange(len(at)), np.diff(self.first)[place])
         row, at = row[hit], at[hit]
         order = np.lexsort((at, item, row))
         row, item, at = row[order], item[order], at[order]
-        far = self.span[item] - SEED_WORDS
-        start, end = np.maximum(rows[row], at - far), np.minimum(rows[row + 1], at + SEED_WORDS + far)
+        far = self.span[item] - width
+        start, end = np.maximum(rows[row], at - far), np.minimum(rows[row + 1], at + width + far)
         new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] > end[:-1])]))
         row, item, start, end = row[new], item[new], start[new], end[np.append(new[1:], len(end)) - 1]
         # long runs in parts that overlap by as much as any alignment spans

@@ -7,11 +7,13 @@ next shorter context, down to 1 / 256 (n: bytes seen in the context, d: distinct
 smallest total code length over the whole text wins; ties go to the smaller name.
 
 Training takes a bounded sample: at most ``SAMPLE_DOCS`` different texts a language, the first by a seeded
-hash, of at most ``SAMPLE_TEXT`` bytes each; longer texts give a seeded slice of that size. Prediction takes
-every byte of every text, in vectorised batches.
+hash, of at most ``SAMPLE_TEXT`` bytes each; longer texts give a seeded slice of that size. A language's sample is
+counted by ``COUNTERS`` tasks. Prediction takes every byte of every text, in slices of ``SLICE`` bytes that see the
+bytes before them, so that memory doesn't go by a text's length.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; so is everything if nothing could
-be learned. Rows are never dropped, repeated ids give repeated rows.
+be learned. Rows are never dropped, repeated ids give repeated rows; ties go to the smaller name. A kept column named
+like an output column is replaced by it.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import bounded_sample, pieces, small_batches, utf8, worker_cache
+from tabsmith.llm.common import bounded_sample, byte_slices, pieces, small_batches, utf8, worker_cache
 
 ORDER = 4
 SAMPLE_DOCS = 1000
-SAMPLE_TEXT = 32 << 10
+SAMPLE_TEXT = 8 << 10
+COUNTERS = 4
+SLICE = 1 << 19
 #: Known windows that a worker keeps with their costs; beyond, it starts anew.
 KEEP = 1 << 20
 
@@ -91,19 +95,27 @@ class Model:
         data, bounds = utf8(pc.utf8_lower(pc.fill_null(text, "").cast(pa.large_string())))
         out = np.zeros((len(text), len(self.names)))
         if len(data) and self.names:
-            order = self.trees[0].order
-            codes, grams = pd.factorize(windows(data, bounds, order + 1))
-            rank = np.argsort(grams)
-            costs = np.empty((len(grams), len(self.names)), np.float32)
-            costs[rank] = self._known(grams[rank])
-            full = np.diff(bounds) > 0
-            for j in range(len(self.names)):
-                out[full, j] = np.add.reduceat(costs[:, j][codes], bounds[:-1][full], dtype=np.float64)
+            for a, b in byte_slices(len(data), SLICE):
+                self._add(out, data, bounds, a, b)
         return out, np.diff(bounds)
 
+    def _add(self, out: np.ndarray, data: np.ndarray, bounds: np.ndarray, a: int, b: int) -> None:
+        """Add the bits of the bytes a .. b to the texts' totals."""
+        order = self.trees[0].order
+        lo = max(0, a - order)
+        cuts = np.unique(np.clip(bounds, lo, b)) - lo
+        codes, grams = pd.factorize(windows(data[lo:b], cuts, order + 1)[a - lo :])
+        rank = np.argsort(grams)
+        costs = np.empty((len(grams), len(self.names)), np.float32)
+        costs[rank] = self._known(grams[rank])
+        texts = np.flatnonzero((bounds[:-1] < b) & (bounds[1:] > a) & (np.diff(bounds) > 0))
+        first = np.maximum(bounds[texts] - a, 0)
+        for j in range(len(self.names)):
+            out[texts, j] += np.add.reduceat(costs[:, j][codes], first, dtype=np.float64)
+
     def _known(self, grams: np.ndarray) -> np.ndarray:
         """Costs (grams x languages); windows met before in this worker are looked up."""
-        cache = worker_cache()
+        cache = worker_cache("language")
         if cache.get("ppm") is None or cache["ppm"][0] != self.token or len(cache["ppm"][1]) > KEEP:
             cache["ppm"] = (self.token, np.zeros(0, np.uint64), np.zeros((0, len(self.names)), np.float32))
         _, old, old_costs = cache["ppm"]
@@ -149,9 +161,14 @@ def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_text: int = SAM
         grams, n = np.unique(windows(data, bounds, order + 1), return_counts=True)
         yield pa.RecordBatch.from_pydict({"lang": [key[0].as_py()], "grams": [grams.astype("<u8").tobytes()], "counts": [n.astype("<i4").tobytes()]})
 
-    # one row a language, of at most sample_docs * sample_text windows
-    learned = rows.groupBy("lang").applyInArrow(count, "lang string, grams binary, counts binary").collect()
-    trees = {r["lang"]: Tree(np.frombuffer(r["grams"], "<u8"), np.frombuffer(r["counts"], "<i4").astype(np.float64), order) for r in learned}
+    # COUNTERS rows a language, together of at most sample_docs * sample_text windows
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(F.lit(19), "text"), F.lit(COUNTERS)))
+    learned = dealt.groupBy("lang", "__part").applyInArrow(count, "lang string, grams binary, counts binary").collect()
+    trees = {}
+    for name in sorted({r["lang"] for r in learned}):
+        own = [r for r in learned if r["lang"] == name]
+        grams, inverse = np.unique(np.concatenate([np.frombuffer(r["grams"], "<u8") for r in own]), return_inverse=True)
+        trees[name] = Tree(grams, np.bincount(inverse, np.concatenate([np.frombuffer(r["counts"], "<i4") for r in own])), order)
     return Model(trees, str(hash(tuple(sorted((r["lang"], hash(bytes(r["grams"]))) for r in learned)))))
 
 
@@ -159,7 +176,7 @@ def identify(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """``columns`` of every document with ``lang_pred``, ``score`` and ``bits_per_byte``."""
     small_batches(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-    source = docs.select(*columns, F.col("text").cast("string").alias("text"))
+    source = docs.select(*[c for c in columns if c not in ("lang_pred", "score", "bits_per_byte")], F.col("text").cast("string").alias("text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

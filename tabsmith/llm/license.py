@@ -1,7 +1,6 @@
 """License scans (operator 8): TF-IDF cosine to notice templates, then inheritance from directories.
 
-1. A record's text is cut at tags, line ends and sentence ends; each piece, and the whole text if it is short,
-   is a candidate. Its vector has tf * idf for each word; idf counts the records of the whole table that hold
+1. A record's text is cut at tags, line ends and sentence ends; each piece is a candidate. Its vector has tf * idf for each word; idf counts the records of the whole table that hold
    the word, for the words of the templates; any other word weighs as one that no record holds. The best cosine
    to a template over all candidates decides; from ``THRESHOLD`` on the record carries that license itself.
    Besides, a window of each template's length slides over the words of the whole text, whatever its size, with
@@ -32,8 +31,6 @@ from tabsmith.llm.license_texts import FULL_TEXTS, HEADERS
 from tabsmith.llm.words import NOT_ALNUM, word_hashes
 
 THRESHOLD = 0.8
-#: Words up to which a whole text is a candidate too.
-SHORT = 300
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|copyright|notice|unlicense)([._-][^/]*)?$"
 _CUT = r"<[^>]*>|\n|[.!?] "
 _TAG = r"</?[A-Za-z!?][^<>]*>"
@@ -66,14 +63,8 @@ def candidates(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of all candidates, their bounds, and the record of each candidate."""
     text = pc.fill_null(text, "").cast(pa.large_string())
     lists = pc.split_pattern(pc.replace_substring_regex(text, _CUT, "\n"), "\n")
-    record = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
     words, bounds = word_hashes(*utf8(pc.list_flatten(lists)), NOT_ALNUM)
-    first = np.searchsorted(record, np.arange(len(text) + 1))
-    start, end = bounds[first[:-1]], bounds[first[1:]]
-    whole = np.flatnonzero((end - start <= SHORT) & (np.diff(first) > 1))
-    more = [words[start[i] : end[i]] for i in whole]
-    sizes = np.concatenate([np.diff(bounds), [len(x) for x in more]]).astype(np.int64)
-    return np.concatenate([words, *more]), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([record, whole])
+    return words, bounds, pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
 
 
 def joined(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -35,18 +35,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.llm.common import pieces, small_batches, table_count, utf8, written
+from tabsmith.llm.common import give_back, pieces, small_batches, table_count, utf8, written
 from tabsmith.llm.words import mix
 
 GRAM = 32
 #: Runs of an anchor from which on its windows go one by one.
-HOT = 50_000
-#: Bytes of runs in a bucket, on average.
+HOT = 20_000
+#: Bytes of runs in a bucket, on average, and of those that are split at a time (an anchor's at least).
 BUCKET_BYTES = 8 << 20
+PART_BYTES = 2 << 20
 #: Windows of a slice of a long text; anchors that are held back to be counted in their own task.
 SLICE, HELD = 1 << 20, 1 << 20
 PASSES = 4
@@ -216,7 +218,7 @@ def _spans_of(at: np.ndarray, run: np.ndarray, window: int) -> tuple[np.ndarray,
     new = np.ones(len(at), bool)
     new[1:] = (run[1:] != run[:-1]) | (at[1:] > at[:-1] + window)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
+    last = np.append(first[1:], len(at))[: len(first)] - 1
     return run[first], at[first], at[last] + window
 
 
@@ -237,22 +239,29 @@ def _columns(table: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
     return anchor.view(np.uint64), key, place, np.frombuffer(data, np.uint8)[: bounds[-1]], bounds
 
 
+def _spans_of_runs(table: pa.Table, window: int) -> pa.RecordBatch:
+    anchor, key, place, data, bounds = _columns(table)
+    begin, count = bounds[:-1], ((place >> 8) & 0xFF) + 1
+    at = np.sort(repeated_windows(anchor, data, begin, count, place & 0xFF, window))
+    run, a, b = _spans_of(at, np.searchsorted(begin, at, side="right") - 1, window)
+    move = ((place[run] >> 16) & 0xFFFFFFFF) - begin[run]
+    return _span_batch(key[run], place[run], a + move, b + move)
+
+
 def _in_buckets(found: DataFrame, window: int, buckets: int) -> DataFrame:
     """Spans (k, c, a, b) of the repeated windows among runs (anchor, k, place, bytes)."""
 
     def sort(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(parts))
-        anchor, key, place, data, bounds = _columns(table)
-        order = np.lexsort((place, key))
-        twin = np.zeros(len(order), bool)
-        twin[1:] = (key[order][1:] == key[order][:-1]) & (place[order][1:] == place[order][:-1])
-        alone = np.sort(order[~twin])  # a text's copies in several tasks send the same run
-        begin, count = bounds[:-1][alone], ((place[alone] >> 8) & 0xFF) + 1
-        at = np.sort(repeated_windows(anchor[alone], data, begin, count, place[alone] & 0xFF, window))
-        run = np.searchsorted(begin, at, side="right") - 1
-        run, a, b = _spans_of(at, run, window)
-        move = ((place[alone][run] >> 16) & 0xFFFFFFFF) - begin[run]
-        yield _span_batch(key[alone][run], place[alone][run], a + move, b + move)
+        table = table.take(pc.sort_indices(table, [("anchor", "ascending"), ("k", "ascending"), ("place", "ascending")]))
+        anchor = table["anchor"].to_numpy()
+        size = pc.binary_length(table["bytes"]).to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        part = np.cumsum(size)[first] // PART_BYTES  # anchors stay whole
+        cuts = [*first[np.concatenate([[True], np.diff(part) > 0])].tolist(), len(anchor)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield _spans_of_runs(table.slice(lo, hi - lo), window)
+            give_back()
 
     dealt = found.withColumn("bucket", F.pmod("anchor", F.lit(buckets)))
     return dealt.groupBy("bucket").applyInArrow(sort, _SPAN)
@@ -289,8 +298,9 @@ def repeated_spans(docs: DataFrame, window: int = 200, hot: int = HOT, bucket_by
         raise ValueError(f"windows of {GRAM + 1} to 256 bytes")
     alive = written(_repeated_anchors(docs, window), "runs")
     held = alive.select(F.sum(_count(F.col("place")) + window - 1)).first()[0]
-    places = alive.groupBy("k", _check(F.col("place")).alias("c")).agg(F.collect_list(F.struct("anchor", "place")).alias("runs"))
-    texts = _keyed(docs).select("k", "c", F.col("__text").cast("binary").alias("__bytes"))
+    # copies of a text say the same from several tasks, and one of them will do
+    places = alive.groupBy("k", _check(F.col("place")).alias("c")).agg(F.collect_set(F.struct("anchor", "place")).alias("runs"))
+    texts = _keyed(docs).groupBy("k", "c").agg(F.first(F.col("__text").cast("binary")).alias("__bytes"))
     cut = texts.join(places, ["k", "c"]).select(
         "k", F.inline(F.transform("runs", lambda r: F.struct(r.anchor.alias("anchor"), r.place.alias("place"), F.substring(F.col("__bytes"), (_start(r.place) + 1).cast("int"), (_count(r.place) + window - 1).cast("int")).alias("bytes")))),
     )

@@ -30,7 +30,7 @@ def read_model(path: str = MODEL) -> bytes:
 
 
 def lattice(model: bytes) -> Lattice:
-    cache = worker_cache()
+    cache = worker_cache("tokens")
     if cache.get("model") != model:
         cache["model"], cache["lattice"] = model, Lattice(model)
     return cache["lattice"]

@@ -169,7 +169,7 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     prefixes = written(prefixes.unionByName(root), "prefixes")
 
     node, up = ["depth", *SUMS], [f"up{s}" for s in SUMS]
-    proper = prefixes.join(seqs.select("seq", "length"), "seq").where(F.col("depth") < F.col("length")).select(F.col("depth").alias("length"), *SUMS)
+    proper = prefixes.join(seqs.select("seq", "length"), "seq").where(F.col("depth") < F.col("length")).select(F.col("depth").alias("length"), *SUMS).distinct()
     leaves = seqs.join(proper, ["length", *SUMS], "left_anti").select("seq", F.lit(1).alias("leaf"))
     weighted = written(seqs.select("seq", "length", "weight").join(leaves, "seq", "left"), "leaves")
     rows = prefixes.join(weighted, "seq")

@@ -120,7 +120,7 @@ def test_short_items_and_unspaced_scripts(docs, spark):
     rows = [(1, "so Four, words in ALL here"), (2, "four words in none all"), (3, "前言很长。" + edited + "后记也长。"), (4, "คำนำ" + thai), (5, "はい" + kana + "。")]
     rows += [(6, "两个不同的句子在这里"), (7, "two words"), (8, "x a b c y"), (9, "a b d c"), (10, ""), (11, "é 中"), (12, "𠀀𠀁" + han)]
     got = found(docs, spark, rows, benchmark)
-    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (3, 2), (4, 3), (5, 4), (8, 6), (12, 2)]
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (3, 2), (4, 3), (5, 4), (7, 5), (8, 6), (12, 2)]
     assert all(r.score == 1 for r in got if r.doc_id != 3)
 
 
@@ -129,3 +129,10 @@ def test_spaces_go_around_single_characters():
     data, bounds = D.spaced(*D.utf8(pa.array(texts)))
     cut = [data[a:b].tobytes().decode() for a, b in zip(bounds, bounds[1:])]
     assert cut == ["ab 中 c", "", "é 𠀀 ", " 中 ", "   x", "plain", " 文 "]
+
+
+def test_items_of_one_and_two_words_match_whole_copies(docs, spark):
+    benchmark = [(1, "Zyzzyva"), (2, "two words"), (3, "a b c d e f g h"), (4, ""), (5, "zyzzyva")]
+    rows = [(1, "the zyzzyva!"), (2, "zyzzyvas"), (3, "Two, WORDS"), (4, "words two"), (5, "two other words"), (6, "x a b c d e f y"), (7, "x a b c d e y"), (8, "two"), (9, None)]
+    got = found(docs, spark, rows, benchmark)
+    assert sorted((r.doc_id, r.item_id, r.score) for r in got) == [(1, 1, 1.0), (1, 5, 1.0), (3, 2, 1.0), (6, 3, 0.75)]

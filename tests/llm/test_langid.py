@@ -85,3 +85,22 @@ def test_sample_is_full_in_a_table_of_copies(docs):
     rows = [(i, f"text {i}", "en") for i in range(400)] + [(1000 + i, "copy", "en") for i in range(20_000)]
     got = bounded_sample(docs(rows).select("text", "lang"), 300, 11, ["text"], "lang")
     assert got.count() == got.distinct().count() == 300
+
+
+def test_slices_do_not_change_code_lengths(docs, monkeypatch):
+    import pyarrow as pa
+
+    model = langid.fit(docs([(1, "the cat sat on the mat", "en"), (2, "die Katze saß auf der Matte", "de")]))
+    text = pa.array(["the cat", "", None, "die Matte é" * 40, "x", "the mat on the cat " * 30])
+    whole, size = model.code_lengths(text)
+    for n in (1, 3, 7, 64):
+        monkeypatch.setattr(langid, "SLICE", n)
+        got, same = model.code_lengths(text)
+        assert abs(got - whole).max() < 1e-3 and (same == size).all()
+
+
+def test_ties_and_clashing_names(docs):
+    model = langid.fit(docs([(1, "abc abc", "b"), (2, "abc abc", "a")]))
+    table = docs([(1, "abc"), (2, "abc")]).withColumnRenamed("lang", "score").withColumnRenamed("doc_id", "bits_per_byte")
+    got = langid.identify(table.selectExpr("*", "7 as id"), model, ["id", "score", "bits_per_byte"])
+    assert got.columns == ["id", "lang_pred", "score", "bits_per_byte"] and {r.lang_pred for r in got.collect()} == {"a"}

@@ -25,8 +25,6 @@ def cosine(text, n, df):
     idf = lambda w: math.log((n + 1) / ((df[w] if w in vocabulary else 0) + 1)) + 1
     vec = lambda t: {w: c * idf(w) for w, c in Counter(tok(t)).items()}
     parts = re.split(r"<[^>]*>|\n|[.!?] ", text or "")
-    if len(parts) > 1 and len(tok(" ".join(parts))) <= 300:
-        parts.append(" ".join(parts))
     best = 0.0
     for part in parts:
         a = vec(part)

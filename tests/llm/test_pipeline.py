@@ -39,3 +39,16 @@ def test_run_is_registered(spark):
 
     got = E.queries()["pipeline"](spark, SMOKE)
     assert got.columns == ["doc_id", "ids", "n_ids", "round_trip"] and got.count() > 0 and "pipeline" not in E.oracle_sql()
+
+
+def test_empty_table_and_long_texts(spark):
+    docs = spark.read.parquet(f"{SMOKE}/documents.parquet")
+    long = docs.where("doc_id % 50 = 0").selectExpr("doc_id + 100000 as doc_id", "repeat(text, 3000) as text", "lang", "source", "n_chars")
+    assert long.selectExpr("max(octet_length(text))").first()[0] > 1_000_000
+    for table in (docs.limit(0), docs.unionByName(long)):
+        n = table.count()
+        for name, stage in P.STAGES:
+            after = P.written(stage(spark, table, SMOKE), "test")
+            assert after.count() <= n, name
+            table = after
+        assert (n == 0) == (table.count() == 0)
