@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.functions.scalar import is_temporal_type, lenient_timestamp, month_key
-from tabsmith.operators.freq import frequency_table
+from tabsmith.operators.freq import frequency_table, with_texts
 from tabsmith.operators.profile import column_summary
 from tabsmith.operators.ranking import top_k_within
 
@@ -86,7 +86,7 @@ def category_charts(df: DataFrame, categorical: list[str]) -> DataFrame:
     if not cols:
         return df.sparkSession.createDataFrame([], "chart string, column_name string, rank long, value string, count long")
     freq = frequency_table(df, cols)
-    top = top_k_within(freq, ["column_name"], [F.desc("count"), F.asc("value")], 8, "value").cache()
+    top = with_texts(df, top_k_within(freq, ["column_name"], [F.desc("count"), F.asc("value")], 8, "value"), cols)
     bars = top.select(F.lit("bar").alias("chart"), "column_name", F.col("rank").cast("long").alias("rank"), "value", "count")
     pies = top.filter(F.col("column_name").isin(*categorical[:2]) & (F.col("rank") <= 6)).select(
         F.lit("pie").alias("chart"), "column_name", F.col("rank").cast("long").alias("rank"), "value", "count"
@@ -126,27 +126,31 @@ def histogram(df: DataFrame, column: str, bins: int = 8) -> DataFrame:
 # ------------------------------------------------------------------ correlation
 def correlation_matrix(df: DataFrame, numeric: list[str]) -> DataFrame:
     """Pearson over pair-complete rows, 3 dp, undefined -> 0, first 5 numeric
-    columns. One aggregate of pair moments; ``(row_column, col_column, value)``."""
+    columns; ``(row_column, col_column, value)``.
+
+    Rows are grouped by which columns are null (32 groups at most). A group has each column's mean and variance and each
+    pair's covariance once; a pair's moments are merged from the groups that have both."""
     cols = numeric[:5]
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j < i:
-                continue
-            xa, xb = _q(a).cast("double"), _q(b).cast("double")
-            both = xa.isNotNull() & xb.isNotNull()
-            ya, yb = F.when(both, xa), F.when(both, xb)
-            aggs.append(F.try_divide(F.covar_pop(ya, yb), F.stddev_pop(ya) * F.stddev_pop(yb)).alias(f"r{i}_{j}"))
-            pairs.append((i, j))
-    wide = df.agg(*aggs)
-    structs = []
+    n = len(cols)
+    x = [_q(c).cast("double") for c in cols]
+    mask = sum((F.when(c.isNull(), 0).otherwise(1 << i) for i, c in enumerate(x)), F.lit(0))
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    moments = [F.avg(c).alias(f"m{i}") for i, c in enumerate(x)] + [(F.var_pop(x[i]) if i == j else F.covar_pop(x[i], x[j])).alias(f"c{i}_{j}") for i, j in pairs]
+    groups = df.groupBy(mask.alias("mask")).agg(F.count(F.lit(1)).alias("n"), *moments).collect()
+    rows = []
     for i, j in pairs:
-        v = F.coalesce(F.round(F.col(f"r{i}_{j}"), 3), F.lit(0.0))
-        v = F.when(F.isnan(v), F.lit(0.0)).otherwise(v)
-        structs.append(F.struct(F.lit(cols[i]).alias("row_column"), F.lit(cols[j]).alias("col_column"), v.alias("value")))
-        if i != j:
-            structs.append(F.struct(F.lit(cols[j]).alias("row_column"), F.lit(cols[i]).alias("col_column"), v.alias("value")))
-    return wide.select(F.inline(F.array(*structs)))
+        own = [r for r in groups if r["mask"] >> i & 1 and r["mask"] >> j & 1]
+        total = sum(r["n"] for r in own)
+
+        def merged(a: int, b: int) -> float:
+            mean_a, mean_b = (sum(r["n"] * r[f"m{k}"] for r in own) / total for k in (a, b))
+            return sum(r["n"] * (r[f"c{a}_{b}"] + (r[f"m{a}"] - mean_a) * (r[f"m{b}"] - mean_b)) for r in own) / total
+
+        spread = (merged(i, i) * merged(j, j)) ** 0.5 if total else 0.0
+        value = merged(i, j) / spread if spread > 0 else 0.0
+        rows += [(cols[i], cols[j], value)] + ([(cols[j], cols[i], value)] if i != j else [])
+    out = df.sparkSession.createDataFrame(rows, "row_column string, col_column string, value double")
+    return out.withColumn("value", F.when(F.isnan("value"), 0.0).otherwise(F.round("value", 3)))
 
 
 # ------------------------------------------------------------------ filter options

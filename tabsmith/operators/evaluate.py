@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.functions.scalar import is_numeric_type, is_temporal_type, lenient_timestamp, normalized_name
-from tabsmith.operators.freq import distinct_counts, frequency_table
+from tabsmith.operators.freq import digest, distinct_counts, frequency_table
 from tabsmith.operators.quantiles import exact_quantiles
 from tabsmith.operators.ranking import row_number_within
+from tabsmith.session import settled
 
 
 def _q(c: str):
@@ -89,9 +90,11 @@ def category_purity(df: DataFrame, features: list[str], target: str) -> DataFram
     """A10: sum over categories of weight(category) x max class share in it, on rows
     where feature and target are both present; 0 when < 2 categories.
     ``(column_name, purity)``: three aggregations, no per-group Python."""
-    structs = [F.struct(F.lit(c).alias("column_name"), _q(c).cast("string").alias("value")) for c in features]
+    if not features:
+        return df.sparkSession.createDataFrame([], "column_name string, purity double")
+    structs = [F.struct(F.lit(c).alias("column_name"), digest(_q(c).cast("string")).alias("value")) for c in features]
     longf = (
-        df.select(_q(target).cast("string").alias("_y"), F.explode(F.array(*structs)).alias("s"))
+        df.select(digest(_q(target).cast("string")).alias("_y"), F.explode(F.array(*structs)).alias("s"))
         .select("s.column_name", "s.value", "_y")
         .filter(F.col("value").isNotNull() & F.col("_y").isNotNull())
     )
@@ -174,11 +177,13 @@ def leakage_scan(df: DataFrame, features: list[str], target: str, problem_type:
         )
     per = wide.select(F.inline(F.array(*rows))).filter(F.col("n") >= 10)
     # distinct counts come from one digest FREQ pass, not from a multi-distinct aggregate
-    unique = distinct_counts(frequency_table(df, features, digests=True))
+    unique = distinct_counts(frequency_table(df, features))
     per = per.join(F.broadcast(unique), "column_name", "left")
     per = per.withColumn("uratio", F.coalesce("unique_count", F.lit(0)) / F.greatest(F.col("nn"), F.lit(1)))
     if problem_type == "classification":
-        pur = category_purity(df, features, target)
+        # nearly unique features say nothing about purity: they are not even read
+        per = settled(per)
+        pur = category_purity(df, [r["column_name"] for r in per.where(F.col("uratio") < 0.9).select("column_name").collect()], target)
         per = per.join(F.broadcast(pur), "column_name", "left")
     else:
         per = per.withColumn("purity", F.lit(None).cast("double"))
@@ -217,8 +222,7 @@ def stratified_split(df: DataFrame, label: str, order_key, test_share: float = 0
     keyed = df.withColumn("_k", order_key).withColumn("_y", _q(label).cast("string"))
     counts = keyed.groupBy("_y").agg(F.count(F.lit(1)).alias("_cn"))
     ranked = row_number_within(keyed, ["_y"], [F.asc("_k")], out="_rn")
-    # counts: one row per class.
-    return ranked.join(F.broadcast(counts), ranked["_y"].eqNullSafe(counts["_y"])).drop(counts["_y"]).withColumn(
+    return ranked.join(counts, ranked["_y"].eqNullSafe(counts["_y"])).drop(counts["_y"]).withColumn(
         "is_test", F.col("_rn") <= F.ceil(F.col("_cn") * F.lit(test_share))
     ).drop("_k", "_y", "_rn", "_cn")
 
@@ -232,12 +236,12 @@ def confusion_counts(pred: DataFrame, actual: str = "actual", predicted: str = "
 
 def class_report(pred: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """M17 per label: precision, recall, f1, support (zero division -> 0)."""
-    cm = confusion_counts(pred, actual, predicted).cache()
-    labels = cm.select(F.col("actual").alias("label")).union(cm.select(F.col("predicted").alias("label"))).distinct()
-    support = cm.groupBy(F.col("actual").alias("label")).agg(F.sum("count").alias("support"))
-    predicted_n = cm.groupBy(F.col("predicted").alias("label")).agg(F.sum("count").alias("pred_n"))
-    tp = cm.filter(F.col("actual") == F.col("predicted")).select(F.col("actual").alias("label"), F.col("count").alias("tp"))
-    r = labels.join(support, "label", "left").join(predicted_n, "label", "left").join(tp, "label", "left").fillna(0)
+    # a prediction speaks for two labels: the true one and the one it names
+    a, p = _q(actual).cast("string"), _q(predicted).cast("string")
+    one = lambda label, support, tp, called: F.struct(label.alias("label"), support.alias("support"), tp.alias("tp"), called.alias("pred_n"))
+    none, known = F.lit(0), lambda c: c.isNotNull().cast("int")
+    cells = F.array(one(a, known(a), F.coalesce(a == p, F.lit(False)).cast("int"), none), one(p, none, none, known(p)))
+    r = pred.select(F.inline(cells)).groupBy("label").agg(*[F.sum(c).alias(c) for c in ("support", "tp", "pred_n")])
     prec = F.when(F.col("pred_n") > 0, F.col("tp") / F.col("pred_n")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)

@@ -1,4 +1,4 @@
-"""FREQ: the shared column-statistics pass.
+"""FREQ: the shared column-statistics pass. Long texts take part as digests, so none is a shuffle key.
 
 One ``unpivot`` of the selected columns to ``(column_name, value)`` followed by one
 ``groupBy(column_name, value).count()`` yields distinct counts, modes, top-k
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.functions.scalar import as_text, is_numeric_type, is_temporal_type, lenient_timestamp
+from tabsmith.session import settled
 
 
 @dataclass(frozen=True)
@@ -64,29 +65,49 @@ def _q(name: str):
 SHORT_TEXT = 40
 
 
+#: Stands between the beginning of a long text and its hashes.
+MARK = "\u0001"
+
+
 def digest(c: Column) -> Column:
-    """128 bits of two independent hashes in place of a longer text."""
-    both = F.concat(F.lit("\u0001"), F.hex(F.xxhash64(c)), F.lit(":"), F.hex(F.xxhash64(F.lit(1), c)))
+    """A longer text's first ``SHORT_TEXT`` characters and 128 bits of two independent hashes: equal for equal texts,
+    and in the order of the texts but among those that begin alike."""
+    both = F.concat(F.left(c, F.lit(SHORT_TEXT)), F.lit(MARK), F.hex(F.xxhash64(c)), F.lit(":"), F.hex(F.xxhash64(F.lit(1), c)))
     return F.when(F.length(c) > SHORT_TEXT, both).otherwise(c)
 
 
-def long_values(df: DataFrame, columns: list[str] | None = None, digests: bool = False) -> DataFrame:
-    """``(column_name, value)`` with every value as canonical text (``digests``:
-    long ones as their digest, so no full text reaches a shuffle); nulls dropped."""
+def with_texts(df: DataFrame, rows: DataFrame, columns: list[str], value: str = "value") -> DataFrame:
+    """``rows`` (column_name, ``value``, ..: few a column, such as a top list) with full texts for digests.
+
+    Only if there are any, ``df`` is read once more, for the columns that have them; only their texts are shuffled.
+    """
+    rows = settled(rows)
+    asked = rows.where(F.instr(value, MARK) > 0).select("column_name", F.col(value).alias("_digest")).distinct()
+    names = [r["column_name"] for r in asked.select("column_name").distinct().collect()]
+    if not names:
+        return rows
+    cells = [F.struct(F.lit(s.name).alias("column_name"), as_text(_q(s.name), s.dtype).alias("_text")) for s in column_specs(df, names)]
+    found = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").withColumn("_digest", digest(F.col("_text")))
+    found = found.join(F.broadcast(asked), ["column_name", "_digest"]).groupBy("column_name", "_digest").agg(F.first("_text").alias("_text"))  # few rows a column
+    whole = rows.join(found, (rows["column_name"] == found["column_name"]) & (rows[value] == found["_digest"]), "left").drop(found["column_name"])
+    return whole.withColumn(value, F.coalesce("_text", value)).select(*rows.columns)
+
+
+def long_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``(column_name, value)`` with every value as canonical text, long ones as their digest; nulls dropped."""
     specs = column_specs(df, columns)
     if not specs:
         raise ValueError("no columns to unpivot")
-    keyed = digest if digests else (lambda c: c)
-    texts = df.select(*[(keyed(as_text(_q(s.name), s.dtype)) if not (s.numeric or s.temporal) else as_text(_q(s.name), s.dtype)).alias(f"c{s.position}") for s in specs])
+    texts = df.select(*[(digest(as_text(_q(s.name), s.dtype)) if not (s.numeric or s.temporal) else as_text(_q(s.name), s.dtype)).alias(f"c{s.position}") for s in specs])
     names = {f"c{s.position}": s.name for s in specs}
     longf = texts.unpivot([], list(names), "slot", "value").filter(F.col("value").isNotNull())
     mapping = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
     return longf.select(mapping[F.col("slot")].alias("column_name"), "value")
 
 
-def frequency_table(df: DataFrame, columns: list[str] | None = None, digests: bool = False) -> DataFrame:
-    """``(column_name, value, count)`` for every non-null value of every column."""
-    return long_values(df, columns, digests).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
+def frequency_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``(column_name, value, count)`` for every non-null value of every column; see :func:`with_texts`."""
+    return long_values(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
 def distinct_counts(freq: DataFrame) -> DataFrame:

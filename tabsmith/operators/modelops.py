@@ -5,7 +5,8 @@ Registry tables are ordinary DataFrames (``models``, ``snapshots``, ``alerts``,
 once. Every per-group ordering uses the skew-safe numbering of
 ``operators.ranking`` (a group key that owns a third of the registry is cut
 across tasks); the "previous row" is an equi-join on ``(group, row number)``,
-whose keys are all distinct.
+whose keys are all distinct. Group totals come back by a join on the group, which
+relies on the small side's run-time size or on adaptive skew splitting.
 """
 
 from __future__ import annotations
@@ -88,18 +89,16 @@ def challengers(signals: DataFrame, n: int = 8) -> DataFrame:
 
 
 def promote(promotions: DataFrame, incoming: DataFrame, promoted_at) -> DataFrame:
-    """The previous active row of each incoming group becomes ``replaced``;
-    the incoming row is inserted as ``active``."""
+    """The active row of each incoming group becomes ``replaced`` at ``promoted_at``; the incoming row is inserted as
+    ``active``. Keys may be null (equal to each other); rows that are not active stay as they are."""
     inc = incoming.select(*CHAMPION_KEYS, "model_id").withColumn("status", F.lit("active")).withColumn("promoted_at", promoted_at).withColumn(
         "replaced_at", F.lit(None).cast("timestamp")
     )
-    hit = promotions.join(inc.select(*[F.col(k).alias(f"_i_{k}") for k in CHAMPION_KEYS]),
-                          [promotions[k].eqNullSafe(F.col(f"_i_{k}")) for k in CHAMPION_KEYS], "left")
-    touched = F.col(f"_i_{CHAMPION_KEYS[0]}").isNotNull() | F.col(f"_i_{CHAMPION_KEYS[1]}").isNotNull()
-    old = hit.withColumn("status", F.when(touched & (F.col("status") == "active"), "replaced").otherwise(F.col("status"))).withColumn(
-        "replaced_at", F.when(touched & (F.col("replaced_at").isNull()), promoted_at).otherwise(F.col("replaced_at"))
-    ).drop(*[f"_i_{k}" for k in CHAMPION_KEYS])
-    return old.unionByName(inc, allowMissingColumns=True)
+    groups = inc.select(*CHAMPION_KEYS).distinct().withColumn("_touched", F.lit(True))
+    hit = _null_safe_join(promotions, groups, CHAMPION_KEYS, "left")
+    gone = F.col("_touched").isNotNull() & (F.col("status") == "active")
+    old = hit.withColumn("replaced_at", F.when(gone, promoted_at).otherwise(F.col("replaced_at"))).withColumn("status", F.when(gone, "replaced").otherwise(F.col("status")))
+    return old.drop("_touched").unionByName(inc, allowMissingColumns=True)
 
 
 def snapshot_deltas(snapshots: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.functions.scalar import ID_NAMES, TARGET_NAME_HINTS
-from tabsmith.operators.freq import column_stats, distinct_counts, frequency_table
+from tabsmith.operators.freq import column_stats, distinct_counts, frequency_table, with_texts
 from tabsmith.operators.ranking import top_k_within
+from tabsmith.session import cut_lineage
 
 
 def kind_expr() -> F.Column:
@@ -29,7 +30,7 @@ def kind_expr() -> F.Column:
 
 def column_summary(df: DataFrame, columns: list[str] | None = None, freq: DataFrame | None = None) -> DataFrame:
     """Stats + distinct counts + kind, one row per column (bounded by the schema)."""
-    freq = freq if freq is not None else frequency_table(df, columns, digests=True)
+    freq = freq if freq is not None else frequency_table(df, columns)
     stats = column_stats(df, columns)
     # Both sides have one row per column: their size is bounded by the schema.
     joined = stats.join(F.broadcast(distinct_counts(freq)), "column_name", "left").withColumn(
@@ -69,11 +70,13 @@ def profile(df: DataFrame, freq: DataFrame | None = None) -> DataFrame:
 
 def top_values(df: DataFrame, k: int = 5, kinds: tuple[str, ...] = ("date", "categorical", "text", "empty"),
                freq: DataFrame | None = None) -> DataFrame:
-    """Top ``k`` values per column by count desc, value asc (ties deterministic)."""
-    freq = freq if freq is not None else frequency_table(df)
+    """Top ``k`` values per column by count desc, value asc (long texts that begin alike: by their digest).
+    FREQ is made once and feeds both the kinds and the ranking."""
+    freq = freq if freq is not None else cut_lineage(frequency_table(df))
     chosen = column_summary(df, freq=freq).filter(F.col("kind").isin(*kinds)).select("column_name", "position")
     cand = freq.join(F.broadcast(chosen), "column_name")
     ranked = top_k_within(cand, ["column_name"], [F.desc("count"), F.asc("value")], k, "value", "rank")
+    ranked = with_texts(df, ranked.select("position", "column_name", "rank", "value", "count"), df.columns)
     return ranked.select(
         F.col("position").cast("long").alias("position"),
         "column_name",

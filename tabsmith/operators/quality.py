@@ -30,6 +30,7 @@ from tabsmith.operators.freq import column_specs, frequency_table
 from tabsmith.operators.profile import column_summary
 from tabsmith.operators.quantiles import exact_quantiles, numeric_long, value_counts
 from tabsmith.operators.ranking import top_k_within
+from tabsmith.session import cut_lineage, settled
 
 
 def one_row_join(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def outlier_columns(df: DataFrame) -> DataFrame:
     names = [s.name for s in specs]
     pos = F.create_map(*[x for s in specs for x in (F.lit(s.name), F.lit(s.position))])
     counts = value_counts(numeric_long(df, names))
-    counts.cache()
+    counts = cut_lineage(counts)
     distinct = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct"), F.sum("cnt").alias("n"))
     q = exact_quantiles(df, names, [0.25, 0.75], counts=counts)
     quart = q.groupBy("column_name").agg(
@@ -129,7 +130,7 @@ class QualityReport:
 def column_flags(df: DataFrame, order_by: str | None = None, target: str | None = None) -> DataFrame:
     """Per column: missing, unique ratio, constant / id-like / high-cardinality flags."""
     freq = frequency_table(df)
-    summ = column_summary(df, freq=freq).cache()
+    summ = settled(column_summary(df, freq=freq))
     id_names = [c for c in df.columns if is_id_like_name(c)]
     # The date-shape sample only decides between "high-cardinality" and "date", so
     # it runs only for text columns that pass the cardinality test (a plan decision
@@ -173,10 +174,8 @@ def _cols_csv(flag: str, limit: int, order: list) -> F.Column:
 
 
 def quality_report(df: DataFrame, order_by: str | None = None) -> QualityReport:
-    flags = column_flags(df, order_by)
-    flags.cache()
-    outl = outlier_columns(df)
-    outl.cache()
+    flags = settled(column_flags(df, order_by))
+    outl = settled(outlier_columns(df))
     dup = duplicate_rows(df)
     n_cols = len(df.columns)
 
@@ -239,7 +238,7 @@ def quality_report(df: DataFrame, order_by: str | None = None) -> QualityReport:
             "missing_percent", F.col("missing_cells") / F.greatest(F.col("rows") * F.col("column_count"), F.lit(1)) * 100
         )
     )
-    ov.cache()
+    ov = settled(ov)
 
     def issue(cond, type_name, severity, title, count, percent, columns):
         return ov.filter(cond).select(
@@ -271,7 +270,9 @@ def quality_report(df: DataFrame, order_by: str | None = None) -> QualityReport:
         ],
     )
     sev_rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
-    issues = issues.withColumn("severity_rank", sev_rank.cast("long"))
+    # High first, then medium; equal ones in the order of the checks
+    order = F.array_position(F.array(*map(F.lit, ["duplicates", "missing", "constant", "id_like", "high_cardinality", "outliers"])), F.col("type"))
+    issues = issues.withColumn("severity_rank", sev_rank.cast("long")).withColumn("_order", order).orderBy("severity_rank", "_order").drop("_order")
 
     counts = issues.agg(
         F.count(F.lit(1)).cast("long").alias("issue_count"),
@@ -297,6 +298,15 @@ def quality_report(df: DataFrame, order_by: str | None = None) -> QualityReport:
     return QualityReport(flags, outl, ov, issues, summary, health)
 
 
+def completeness(df: DataFrame) -> DataFrame:
+    """A22 (one row): cells, missing cells and 100 less the missing share, within 0 and 100; one aggregate."""
+    sums = df.agg((F.count(F.lit(1)) * len(df.columns)).alias("cells"), *[F.count(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(df.columns)])
+    filled = sum((F.col(f"_{i}") for i in range(len(df.columns))), F.lit(0))
+    missing = F.col("cells") - filled
+    score = F.when(F.col("cells") > 0, 100 - missing / F.col("cells") * 100).otherwise(100.0)
+    return sums.select("cells", missing.cast("long").alias("missing_cells"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 2).alias("completeness"))
+
+
 def dataset_health(full: DataFrame) -> DataFrame:
     """A15 from the one-row quality frame."""
     rows, ncols = F.col("rows"), F.col("column_count")

@@ -212,24 +212,38 @@ oracle("registry_statistics_orders", f"SELECT problem_type, CAST(count(*) AS BIG
 PROMOTED_AT = "2024-02-01 00:00:00"
 
 
-@query("promotion_merge_orders")
-def promotion_merge(spark, d):
-    m = models_registry(spark, d).filter(F.col("rank_score").isNotNull())
-    current = promotions_registry(spark, d).withColumn("promoted_at", F.lit(None).cast("timestamp")).withColumn(
-        "replaced_at", F.lit(None).cast("timestamp"))
-    latest = m.groupBy(*MO.CHAMPION_KEYS).agg(F.max_by("model_id", F.struct("created_at", "model_id")).alias("model_id"))
-    merged = MO.promote(current, latest, F.lit(PROMOTED_AT).cast("timestamp"))
-    return merged.select(*MO.CHAMPION_KEYS, "model_id", "status", F.col("replaced_at").isNotNull().alias("replaced"))
+ARCHIVED_AT = "2023-05-01 00:00:00"
+
 
+def _keys_with_nulls(df):
+    """Champion keys whose target and problem type are null for models of one clerk in three."""
+    hide = F.col("model_id") % 3 == 0
+    return df.withColumn("target_column", F.when(~hide, F.col("target_column"))).withColumn("problem_type", F.when(~hide, F.col("problem_type")))
 
-oracle("promotion_merge_orders", f"""WITH m AS ({MODELS_SQL}), s AS (SELECT * FROM m WHERE rank_score IS NOT NULL),
-p AS (SELECT target_column, problem_type, primary_metric, arg_min(model_id, (created_at, model_id)) AS model_id FROM s GROUP BY 1, 2, 3),
-i AS (SELECT target_column, problem_type, primary_metric, arg_max(model_id, (created_at, model_id)) AS model_id FROM s GROUP BY 1, 2, 3)
-SELECT p.target_column, p.problem_type, p.primary_metric, p.model_id,
-  CASE WHEN i.model_id IS NOT NULL THEN 'replaced' ELSE 'active' END AS status, i.model_id IS NOT NULL AS replaced
-FROM p LEFT JOIN i ON p.target_column = i.target_column AND p.problem_type = i.problem_type AND p.primary_metric = i.primary_metric
-UNION ALL
-SELECT target_column, problem_type, primary_metric, model_id, 'active', FALSE FROM i""")
+
+@query("promotion_merge_orders")
+def promotion_merge(spark, d):
+    """Groups with null keys; besides the active promotion, each group has an older one that was archived."""
+    m = _keys_with_nulls(models_registry(spark, d).filter(F.col("rank_score").isNotNull()))
+    first = m.groupBy(*MO.CHAMPION_KEYS).agg(F.min_by("model_id", F.struct("created_at", "model_id")).alias("model_id"))
+    none = F.lit(None).cast("timestamp")
+    active = first.select("*", F.lit("active").alias("status"), none.alias("promoted_at"), none.alias("replaced_at"))
+    archived = first.select(*MO.CHAMPION_KEYS, (F.col("model_id") + 1).alias("model_id"), F.lit("archived").alias("status"), none.alias("promoted_at"),
+                            F.when(F.col("model_id") % 2 == 0, F.lit(ARCHIVED_AT).cast("timestamp")).alias("replaced_at"))
+    latest = m.where(F.col("primary_metric").isNotNull()).groupBy(*MO.CHAMPION_KEYS).agg(F.max_by("model_id", F.struct("created_at", "model_id")).alias("model_id"))
+    merged = MO.promote(active.unionByName(archived), latest.where(F.col("model_id") % 5 != 0), F.lit(PROMOTED_AT).cast("timestamp"))
+    return merged.select(*MO.CHAMPION_KEYS, "model_id", "status", "promoted_at", "replaced_at")
+
+
+oracle("promotion_merge_orders", f"""WITH m AS (SELECT CASE WHEN model_id % 3 <> 0 THEN target_column END AS target_column, CASE WHEN model_id % 3 <> 0 THEN problem_type END AS problem_type,
+   primary_metric, model_id, created_at FROM ({MODELS_SQL}) x WHERE rank_score IS NOT NULL),
+p AS (SELECT target_column, problem_type, primary_metric, arg_min(model_id, (created_at, model_id)) AS model_id FROM m GROUP BY 1, 2, 3),
+i AS (SELECT * FROM (SELECT target_column, problem_type, primary_metric, arg_max(model_id, (created_at, model_id)) AS model_id FROM m GROUP BY 1, 2, 3) x WHERE model_id % 5 <> 0)
+SELECT p.*, CASE WHEN i.model_id IS NULL THEN 'active' ELSE 'replaced' END AS status, NULL::TIMESTAMP AS promoted_at,
+  CASE WHEN i.model_id IS NOT NULL THEN TIMESTAMP '{PROMOTED_AT}' END AS replaced_at
+FROM p LEFT JOIN i ON (p.target_column, p.problem_type, p.primary_metric) IS NOT DISTINCT FROM (i.target_column, i.problem_type, i.primary_metric)
+UNION ALL SELECT target_column, problem_type, primary_metric, model_id + 1, 'archived', NULL, CASE WHEN model_id % 2 = 0 THEN TIMESTAMP '{ARCHIVED_AT}' END FROM p
+UNION ALL SELECT target_column, problem_type, primary_metric, model_id, 'active', TIMESTAMP '{PROMOTED_AT}', NULL FROM i""")
 
 
 @query("best_model_per_dataset_orders")
@@ -249,12 +263,14 @@ oracle("best_model_per_dataset_orders", f"""SELECT dataset_id, arg_max(model_id,
 
 @query("snapshot_retention_events")
 def snapshot_retention(spark, d):
-    """Keep the newest 40 snapshots of every model (per-key retention)."""
+    """The newest 40 snapshots of every model by the day; among those of a day, by id."""
     from tabsmith.sources.io import retained
 
-    kept = retained(snapshots_registry(spark, d), 40, order_col="created_at", key="model_id")
-    return kept.groupBy("model_id").agg(F.count(F.lit(1)).cast("long").alias("kept"), F.min("created_at").alias("oldest_kept"))
+    daily = T(spark, d, "events").select(F.col("user_id").alias("model_id"), F.col("event_id").alias("snapshot_id"), F.date_trunc("day", "ts").alias("created_at"))
+    kept = retained(daily, 40, order_col="created_at", key="model_id", id_col="snapshot_id")
+    return kept.groupBy("model_id").agg(F.count(F.lit(1)).cast("long").alias("kept"), F.min("created_at").alias("oldest_kept"), F.sum("snapshot_id").cast("long").alias("ids"))
 
 
-oracle("snapshot_retention_events", """WITH r AS (SELECT user_id AS model_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events)
-SELECT model_id, CAST(count(*) AS BIGINT) AS kept, min(ts) AS oldest_kept FROM r WHERE rn <= 40 GROUP BY 1""")
+oracle("snapshot_retention_events", """WITH r AS (SELECT user_id AS model_id, event_id, date_trunc('day', ts)::TIMESTAMP AS ts,
+  row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts) DESC, event_id DESC) AS rn FROM events)
+SELECT model_id, CAST(count(*) AS BIGINT) AS kept, min(ts) AS oldest_kept, CAST(sum(event_id) AS BIGINT) AS ids FROM r WHERE rn <= 40 GROUP BY 1""")

@@ -64,6 +64,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A frame of few rows (one a column, one a class) computed now, so that its readers share one run.
+    The rows come to the driver: for frames whose size the schema bounds, never for data."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def nan_as_null(df: DataFrame) -> DataFrame:
     """A NaN is a missing value. Columns that can't hold one stay as they are."""
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}

@@ -67,3 +67,41 @@ def drift_listing(reports: DataFrame, per_model: int = 1) -> DataFrame:
     return newest.join(counts, "model_id").withColumn("_o", F.lit(1)).join(F.broadcast(total.withColumn("_o", F.lit(1))), "_o").select(
         "model_id", "total_reports", "filtered_reports", F.col("report_id").alias("latest_report"), F.col("status").alias("latest_status"),
     )
+
+
+# Columns of the registry export and of the experiment export, in order.
+REGISTRY_COLUMNS = (
+    "model_id dataset_id target_column problem_type best_model quality_label primary_metric rank_score candidate_models trained_models failed_models "
+    "raw_feature_count model_feature_count selected_feature_count excluded_feature_count dropped_feature_count engineered_feature_count recommended_threshold "
+    "trust_score risk_level trust_decision trust_blockers trust_warnings champion_status production_status production_model_id first_recommendation prediction_api created_at"
+).split()
+EXPERIMENT_COLUMNS = (
+    "experiment_id model_id dataset_id target_column problem_type best_model quality_label primary_metric rank_score previous_score score_delta is_latest is_best_for_group "
+    "group_run_number candidate_models trained_models failed_models model_feature_count raw_feature_count first_recommendation prediction_api created_at"
+).split()
+
+
+def _flat(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` in order; those that a record doesn't have are null."""
+    return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
+
+
+def registry_export(models: DataFrame, signals: DataFrame, promotions: DataFrame) -> DataFrame:
+    """S8, a row a model: the record with trust columns, its champion status, its group's model in production, and the
+    first of its ``next_actions`` (empty if none)."""
+    keys = ["target_column", "problem_type", "primary_metric"]
+    active = promotions.where(F.col("status") == "active").groupBy(*keys).agg(F.max("model_id").alias("production_model_id"))
+    active = active.select(*[F.col(k).alias(f"_p_{k}") for k in keys], "production_model_id")
+    rows = models.join(signals.select("model_id", F.col("status").alias("champion_status")), "model_id", "left")
+    rows = rows.join(active, [rows[k].eqNullSafe(F.col(f"_p_{k}")) for k in keys], "left")
+    in_use = F.when(F.col("production_model_id") == F.col("model_id"), "production").otherwise("not_production")
+    said = F.coalesce(F.try_element_at("next_actions", F.lit(1)), F.lit("")) if "next_actions" in models.columns else F.lit("")
+    return _flat(rows.withColumns({"production_status": in_use, "first_recommendation": said}), REGISTRY_COLUMNS)
+
+
+def experiment_export(models: DataFrame, history: DataFrame) -> DataFrame:
+    """S9, a row a run: the record with its place in the history of its group."""
+    place = history.select("model_id", "previous_score", "score_delta", "is_latest", "is_best_for_group", "group_run_number")
+    said = F.coalesce(F.try_element_at("next_actions", F.lit(1)), F.lit("")) if "next_actions" in models.columns else F.lit("")
+    rows = models.join(place, "model_id").withColumns({"experiment_id": F.col("model_id"), "first_recommendation": said})
+    return _flat(rows, EXPERIMENT_COLUMNS)

@@ -82,25 +82,31 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def scored_csv(df: DataFrame, path: str, labels: list[str] | None = None) -> None:
-    """Input columns + prediction fields + ``probability_<label>`` columns
-    (labels sorted, sanitised to alphanumerics and underscores)."""
+    """Input columns + prediction fields + ``probability_<label>`` columns (labels sorted; letters and digits of any
+    script and underscores stay, the rest becomes an underscore; labels that end up alike are numbered)."""
     out = df
     if labels and "probabilities" in df.columns:
         names = out.sparkSession.range(1).select(*[sanitize_label(F.lit(x)).alias(str(i)) for i, x in enumerate(sorted(labels))]).first()
+        taken = set(out.columns)
         for label, name in zip(sorted(labels), names):
-            out = out.withColumn(f"probability_{name or 'class'}", F.col("probabilities")[label])
+            column = f"probability_{name or 'class'}"
+            column = next(c for c in (column, *(f"{column}_{i}" for i in range(2, len(labels) + 2))) if c not in taken)
+            taken.add(column)
+            out = out.withColumn(column, F.col("probabilities")[label])
         out = out.drop("probabilities")
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
-def retained(registry: DataFrame, cap: int, order_col: str = "created_at", key: str | None = None) -> DataFrame:
-    """Newest ``cap`` rows (per key when given), skew-safe numbering."""
+def retained(registry: DataFrame, cap: int, order_col: str = "created_at", key: str | None = None, id_col: str | None = None) -> DataFrame:
+    """Newest ``cap`` rows (per key when given), skew-safe numbering. Among rows of one time the larger ``id_col``
+    counts as newer, or without one the larger hash of the row, so that a second run keeps the same rows."""
     groups = [key] if key else []
     if not groups:
         registry = registry.withColumn("_all", F.lit(1))
         groups = ["_all"]
-    r = row_number_within(registry, groups, [F.desc(order_col)], out="_rn")
-    return r.filter(F.col("_rn") <= cap).drop("_rn", "_all")
+    tie = F.col(id_col) if id_col else F.xxhash64(*[F.col(f"`{c}`") for c in registry.columns])
+    r = row_number_within(registry.withColumn("_tie", tie), groups, [F.desc(order_col), F.desc("_tie")], out="_rn")
+    return r.filter(F.col("_rn") <= cap).drop("_rn", "_all", "_tie")
 
 
 def upsert_by_id(registry: DataFrame, incoming: DataFrame, id_col: str, order_col: str = "created_at") -> DataFrame:
