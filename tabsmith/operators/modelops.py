@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.operators.ranking import row_number_within, top_k_within
+from tabsmith.operators.rules import number
 
 EXPERIMENT_KEYS = ["dataset_id", "target_column", "problem_type", "primary_metric"]
 CHAMPION_KEYS = ["target_column", "problem_type", "primary_metric"]
@@ -53,6 +54,10 @@ def champion_signals(models: DataFrame, promotions: DataFrame | None = None) ->
     """W2/W3 for every model: rank among scored models of its (target, problem,
     metric) group by score desc (newest first on ties), champion score, delta to
     the champion, status production / champion / challenger / unscored."""
+    return _compared(models, promotions).drop("champion_id", "production_id")
+
+
+def _compared(models: DataFrame, promotions: DataFrame | None) -> DataFrame:
     scored = models.filter(F.col("rank_score").isNotNull())
     ranked = row_number_within(scored, CHAMPION_KEYS, [F.desc("rank_score"), F.desc("created_at"), F.desc("model_id")], out="rank")
     champ = scored.groupBy(*CHAMPION_KEYS).agg(
@@ -79,8 +84,43 @@ def champion_signals(models: DataFrame, promotions: DataFrame | None = None) ->
         F.coalesce(F.col("group_size"), F.lit(0)).cast("long").alias("group_size"),
         "champion_score",
         F.round(F.col("rank_score") - F.col("champion_score"), 4).alias("delta_vs_champion"),
-        status.alias("status"),
+        status.alias("status"), "champion_id", "production_id",
+    )
+
+
+# What to do with a model beside its group's champion, the first that holds.
+_ALONE = "Train another model with the same target to create a champion/challenger comparison."
+_KEEP = ("Keep this model as champion while monitoring drift, confidence, and audit coverage.", "Use retrain-from-drift when fresh labeled data becomes available.")
+CLOSE = 0.02
+
+
+def champion_actions(models: DataFrame, promotions: DataFrame | None = None) -> DataFrame:
+    """The signals with ``actions`` for every model, by its place beside champion and production model. ``models`` may
+    carry ``best_model``, the name that a production model is called by."""
+    rows = _compared(models, promotions)
+    names = models.select(F.col("model_id").alias("production_id"), (F.col("best_model") if "best_model" in models.columns else F.lit(None).cast("string")).alias("production_name"))
+    rows = rows.join(names, "production_id", "left")
+    gap = F.col("champion_score") - F.col("rank_score")
+    is_production = F.col("model_id").eqNullSafe(F.col("production_id"))
+    is_champion = F.col("model_id").eqNullSafe(F.col("champion_id"))
+    has_production = F.col("production_id").isNotNull()
+    one = lambda *parts: F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    behind = one(
+        F.concat(F.lit("Champion remains stronger by "), number(gap), F.lit(" "), F.coalesce(F.col("primary_metric"), F.lit("score")), F.lit(" point(s).")),
+        "Use the challenger as experiment evidence or retrain with richer labeled data.",
+    )
+    elsewhere = one(F.concat(F.lit("Production is currently assigned to "), F.coalesce("production_name", F.lit("another model")), F.lit(".")))
+    said = (
+        F.when(F.col("champion_id").isNull(), one(_ALONE))
+        .when(is_production, one("This model is manually promoted to production. Keep monitoring drift, confidence, and alerts.", "Retrain from drift when recent labeled data shows a stronger challenger."))
+        .when(is_champion & ~has_production, one("Promote this validated champion when it is ready for production traffic.", *_KEEP))
+        .when(is_champion, one(*_KEEP))
+        .when(F.col("rank_score").isNull(), one("Retrain or rerun this challenger so it has a comparable score."))
+        .when(gap <= CLOSE, one("This challenger is close to champion performance; validate it with batch scoring before promotion.", "Compare drift and confidence on recent data before switching APIs."))
+        .when(has_production, F.concat(behind, elsewhere))
+        .otherwise(behind)
     )
+    return rows.select(*[c for c in rows.columns if c not in ("champion_id", "production_id", "production_name")], said.alias("actions"))
 
 
 def challengers(signals: DataFrame, n: int = 8) -> DataFrame:

@@ -25,6 +25,7 @@ class Rule:
     text: str
     label: str = ""
     status: str = ""
+    hint: str = ""
 
 
 def number(value: Column, digits: int = 4) -> Column:
@@ -60,9 +61,13 @@ def texts(rules: list[Rule], limit: int) -> Column:
     return F.slice(F.array_compact(F.array(*[F.when(F.expr(r.when), said(r.text)) for r in rules])), 1, limit)
 
 
-def checks(rules: list[Rule], limit: int) -> Column:
-    """label, status and detail of the first ``limit`` rules that hold."""
-    rows = [F.when(F.expr(r.when), F.struct(F.lit(r.label).alias("label"), F.lit(r.status).alias("status"), said(r.text).alias("detail"))) for r in rules]
+def checks(rules: list[Rule], limit: int, hints: bool = False) -> Column:
+    """label, status and detail, with ``hints`` also what to do, of the first ``limit`` rules that hold."""
+
+    def row(r: Rule) -> Column:
+        return F.struct(F.lit(r.label).alias("label"), F.lit(r.status).alias("status"), said(r.text).alias("detail"), *([F.lit(r.hint).alias("hint")] if hints else []))
+
+    rows = [F.when(F.expr(r.when), row(r)) for r in rules]
     return F.slice(F.array_compact(F.array(*rows)), 1, limit)
 
 

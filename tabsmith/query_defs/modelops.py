@@ -82,6 +82,32 @@ FROM m LEFT JOIN r ON r.model_id = m.model_id
 LEFT JOIN c ON c.target_column = m.target_column AND c.problem_type = m.problem_type AND c.primary_metric = m.primary_metric""")
 
 
+def _partly_promoted(spark, d):
+    """Promotions of the classification groups alone."""
+    return promotions_registry(spark, d).where("problem_type = 'classification'")
+
+
+@query("champion_actions_orders")
+def champion_actions(spark, d):
+    models = models_registry(spark, d).withColumn("best_model", F.concat(F.lit("m"), F.col("model_id") % 5))
+    return MO.champion_actions(models, _partly_promoted(spark, d)).select("model_id", "status", F.array_join("actions", "|").alias("actions"))
+
+
+oracle("champion_actions_orders", f"""WITH m AS ({MODELS_SQL}), s AS (SELECT * FROM m WHERE rank_score IS NOT NULL),
+c AS (SELECT target_column, problem_type, primary_metric, max(rank_score) AS top, arg_max(model_id, (rank_score, created_at, model_id)) AS champion,
+   CASE WHEN problem_type = 'classification' THEN arg_min(model_id, (created_at, model_id)) END AS production FROM s GROUP BY 1, 2, 3),
+j AS (SELECT m.*, champion, production, top - rank_score AS gap FROM m LEFT JOIN c USING (target_column, problem_type, primary_metric))
+SELECT model_id, CASE WHEN rank_score IS NULL THEN 'unscored' WHEN model_id = production THEN 'production' WHEN model_id = champion THEN 'champion' ELSE 'challenger' END AS status,
+  CASE WHEN champion IS NULL THEN 'Train another model with the same target to create a champion/challenger comparison.'
+    WHEN model_id = production THEN 'This model is manually promoted to production. Keep monitoring drift, confidence, and alerts.|Retrain from drift when recent labeled data shows a stronger challenger.'
+    WHEN model_id = champion THEN CASE WHEN production IS NULL THEN 'Promote this validated champion when it is ready for production traffic.|' ELSE '' END
+      || 'Keep this model as champion while monitoring drift, confidence, and audit coverage.|Use retrain-from-drift when fresh labeled data becomes available.'
+    WHEN rank_score IS NULL THEN 'Retrain or rerun this challenger so it has a comparable score.'
+    WHEN gap <= 0.02 THEN 'This challenger is close to champion performance; validate it with batch scoring before promotion.|Compare drift and confidence on recent data before switching APIs.'
+    ELSE 'Champion remains stronger by ' || regexp_replace(CAST(round(gap, 4) AS DECIMAL(38, 4))::VARCHAR, '(\\.\\d+?)0+$', '\\1') || ' ' || primary_metric || ' point(s).|Use the challenger as experiment evidence or retrain with richer labeled data.'
+      || CASE WHEN production IS NULL THEN '' ELSE '|Production is currently assigned to m' || production % 5 || '.' END END AS actions FROM j""")
+
+
 @query("challengers_orders")
 def challengers(spark, d):
     return MO.challengers(champions(spark, d))
