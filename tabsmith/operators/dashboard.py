@@ -176,6 +176,12 @@ def preview(df: DataFrame, order_by: list[str], limit: int = 20) -> DataFrame:
     return df.orderBy(*[_q(c) for c in order_by]).limit(max(1, int(limit)))
 
 
+def preview_with_total(df: DataFrame, order_by: list[str], limit: int = 20) -> DataFrame:
+    """the preview, with ``total_rows``, the number of rows that the filters left."""
+    total = df.agg(F.count(F.lit(1)).cast("long").alias("total_rows")).withColumn("_o", F.lit(1))
+    return preview(df, order_by, limit).withColumn("_o", F.lit(1)).join(F.broadcast(total), "_o").drop("_o")  # one row on the right
+
+
 def scatter_points(df: DataFrame, x: str, y: str, order_by: list[str], limit: int = 120) -> DataFrame:
     """T4: first ``limit`` complete (x, y) pairs in key order."""
     pts = df.select(*[_q(c) for c in order_by if c not in (x, y)], _q(x), _q(y)).na.drop(subset=[x, y])

@@ -50,6 +50,26 @@ def experiment_history(models: DataFrame) -> DataFrame:
     )
 
 
+def history_summary(history: DataFrame) -> DataFrame:
+    """W1 (one row): runs, best run (the newest among equal scores), latest run, and runs that improved on the one before."""
+    return history.agg(
+        F.count(F.lit(1)).cast("long").alias("runs"),
+        F.max_by("model_id", F.when(F.col("rank_score").isNotNull(), F.struct("rank_score", "created_at", "model_id"))).alias("best_run"),
+        F.max("rank_score").alias("best_score"),
+        F.max_by("model_id", F.struct("created_at", "model_id")).alias("latest_run"),
+        F.count_if(F.col("score_delta") > 0).cast("long").alias("improved_runs"),
+    )
+
+
+def best_model(models: DataFrame, by: str = "dataset_id", target: str | None = None) -> DataFrame:
+    """The best-scoring model of each dataset (the newest among equal scores); with ``target`` among its models of that
+    target, or among all where none of them has it."""
+    scored = models.where(F.col("rank_score").isNotNull())
+    fits = F.lit(True) if target is None else F.coalesce(F.col("target_column") == target, F.lit(False))
+    order = F.struct(fits.alias("fits"), "rank_score", "created_at", "model_id")
+    return scored.groupBy(by).agg(F.max_by(F.struct("model_id", "rank_score"), order).alias("b"), F.count(F.lit(1)).cast("long").alias("scored_models")).select(by, "b.model_id", "b.rank_score", "scored_models")
+
+
 def champion_signals(models: DataFrame, promotions: DataFrame | None = None) -> DataFrame:
     """W2/W3 for every model: rank among scored models of its (target, problem,
     metric) group by score desc (newest first on ties), champion score, delta to

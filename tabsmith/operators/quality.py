@@ -30,6 +30,7 @@ from tabsmith.operators.freq import column_specs, frequency_table
 from tabsmith.operators.profile import column_summary
 from tabsmith.operators.quantiles import exact_quantiles, numeric_long, value_counts
 from tabsmith.operators.ranking import top_k_within
+from tabsmith.operators.rules import said
 from tabsmith.session import cut_lineage, settled
 
 
@@ -117,6 +118,10 @@ def probably_datetime(df: DataFrame, order_by: str | None = None, sample: int =
     return res if base is None else res.unionByName(base)
 
 
+# Fixed value: the order of the checks.
+ISSUE_ORDER = ("duplicates", "missing", "constant", "id_like", "high_cardinality", "outliers")
+
+
 @dataclass
 class QualityReport:
     columns: DataFrame  # one row per column with every fact and flag
@@ -271,7 +276,7 @@ def quality_report(df: DataFrame, order_by: str | None = None) -> QualityReport:
     )
     sev_rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
     # High first, then medium; equal ones in the order of the checks
-    order = F.array_position(F.array(*map(F.lit, ["duplicates", "missing", "constant", "id_like", "high_cardinality", "outliers"])), F.col("type"))
+    order = F.array_position(F.array(*map(F.lit, ISSUE_ORDER)), F.col("type"))
     issues = issues.withColumn("severity_rank", sev_rank.cast("long")).withColumn("_order", order).orderBy("severity_rank", "_order").drop("_order")
 
     counts = issues.agg(
@@ -353,3 +358,27 @@ def dataset_health(full: DataFrame) -> DataFrame:
         "structure_score",
         "signal_score",
     )
+
+
+# The health checks (label, score, bounds of good and warning, detail) and the texts of small tables.
+HEALTH_CHECKS = (
+    ("Completeness", "completeness_score", 85, 65, "{missing_percent:2}% missing cells."),
+    ("Duplicates", "duplication_score", 90, 70, "{duplicate_percent:2}% duplicate rows."),
+    ("Structure", "structure_score", 85, 65, "{rows} rows and {column_count} columns."),
+    ("Model signal", "signal_score", 85, 65, "{high_card_count} high-cardinality and {outlier_columns} outlier column group(s)."),
+)
+FEW_ROWS = "Dataset has fewer than 30 rows; validation and model ranking may be unreliable."
+FEW_COLUMNS = "Dataset needs at least one feature column and one target column."
+
+
+def health_checks(report: QualityReport) -> DataFrame:
+    """A15 (one row): score and status, the four checks (label, score, status, detail), blockers and warnings (six of each at most)."""
+    titles = lambda s: F.transform(F.sort_array(F.collect_list(F.when(F.col("severity") == s, F.struct(F.array_position(F.array(*map(F.lit, ISSUE_ORDER)), F.col("type")), F.col("title").alias("t"))))), lambda x: x.t)
+    found = report.issues.agg(titles("high").alias("high"), titles("medium").alias("medium"))
+    one = one_row_join(one_row_join(report.health, report.overview.select("rows", "column_count", "missing_percent", "duplicate_percent", "high_card_count", "outlier_columns")), found)
+    rows = [
+        F.struct(F.lit(label).alias("label"), F.col(score).alias("score"), F.when(F.col(score) >= good, "good").when(F.col(score) >= fair, "warning").otherwise("risk").alias("status"), said(detail).alias("detail"))
+        for label, score, good, fair, detail in HEALTH_CHECKS
+    ]
+    small = F.array_compact(F.array(F.when(F.col("rows") < 30, FEW_ROWS), F.when(F.col("column_count") < 2, FEW_COLUMNS)))
+    return one.select("score", "status", F.array(*rows).alias("checks"), F.slice(F.concat(small, "high"), 1, 6).alias("blockers"), F.slice("medium", 1, 6).alias("warnings"))

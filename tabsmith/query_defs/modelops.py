@@ -275,12 +275,29 @@ UNION ALL SELECT target_column, problem_type, primary_metric, model_id, 'active'
 @query("best_model_per_dataset_orders")
 def best_model(spark, d):
     """The best-scoring model of each dataset (newest on ties)."""
-    m = models_registry(spark, d).filter(F.col("rank_score").isNotNull())
-    return m.groupBy("dataset_id").agg(
-        F.max_by("model_id", F.struct("rank_score", "created_at", "model_id")).alias("model_id"),
-        F.max("rank_score").alias("rank_score"),
-        F.count(F.lit(1)).cast("long").alias("scored_models"),
-    )
+    return MO.best_model(models_registry(spark, d))
+
+
+@query("best_model_for_target_orders")
+def best_model_for_target(spark, d):
+    """The best model of each customer for the churn target, or of all targets where it has none."""
+    o = T(spark, d, "orders").select(F.col("o_orderkey").alias("model_id"), F.col("o_custkey").alias("customer"))
+    return MO.best_model(models_registry(spark, d).join(o, "model_id"), "customer", "churn")
+
+
+oracle("best_model_for_target_orders", f"""WITH m AS (SELECT x.*, o_custkey AS customer FROM ({MODELS_SQL}) x JOIN orders ON o_orderkey = model_id WHERE rank_score IS NOT NULL),
+r AS (SELECT *, count(*) OVER (PARTITION BY customer) AS n, row_number() OVER (PARTITION BY customer ORDER BY target_column = 'churn' DESC, rank_score DESC, created_at DESC, model_id DESC) AS k FROM m)
+SELECT customer, model_id, rank_score, CAST(n AS BIGINT) AS scored_models FROM r WHERE k = 1""")
+
+
+@query("history_summary_orders")
+def history_summary(spark, d):
+    return MO.history_summary(MO.experiment_history(models_registry(spark, d)))
+
+
+oracle("history_summary_orders", f"""WITH m AS ({MODELS_SQL}), r AS (SELECT *, round(rank_score - lag(rank_score) OVER (PARTITION BY dataset_id, target_column, problem_type, primary_metric ORDER BY created_at, model_id), 4) AS d FROM m)
+SELECT CAST(count(*) AS BIGINT) AS runs, arg_max(model_id, (rank_score, created_at, model_id)) FILTER (rank_score IS NOT NULL) AS best_run, max(rank_score) AS best_score,
+  arg_max(model_id, (created_at, model_id)) AS latest_run, CAST(count(*) FILTER (d > 0) AS BIGINT) AS improved_runs FROM r""")
 
 
 oracle("best_model_per_dataset_orders", f"""SELECT dataset_id, arg_max(model_id, (rank_score, created_at, model_id)) AS model_id,

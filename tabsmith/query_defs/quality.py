@@ -37,6 +37,24 @@ def dataset_health(spark, d):
 oracle("dataset_health_lineitem_defects", DEFECT_CTES + O.HEALTH_SELECT)
 
 
+@query("health_checks_lineitem_defects")
+def health_checks(spark, d):
+    out = Q.health_checks(Q.quality_report(lineitem_defects(spark, d), order_by="line_id"))
+    rows = F.transform("checks", lambda c: F.concat_ws(":", c.label, c.score, c.status, c.detail))
+    return out.select("score", "status", F.array_join(rows, "|").alias("checks"), F.array_join("blockers", "|").alias("blockers"), F.array_join("warnings", "|").alias("warnings"))
+
+
+_N2 = lambda c: f"regexp_replace(CAST(round({c}, 2) AS DECIMAL(38, 2))::VARCHAR, '(\\.\\d+?)0+$', '\\1')"
+_GRADE = lambda c, good, fair: f"{c} || ':' || CASE WHEN {c} >= {good} THEN 'good' WHEN {c} >= {fair} THEN 'warning' ELSE 'risk' END || ':'"
+_KIND = "CASE type WHEN 'duplicates' THEN 1 WHEN 'missing' THEN 2 WHEN 'constant' THEN 3 WHEN 'id_like' THEN 4 WHEN 'high_cardinality' THEN 5 ELSE 6 END"
+oracle("health_checks_lineitem_defects", DEFECT_CTES + f"""SELECT h.score, h.status,
+  'Completeness:' || {_GRADE('completeness_score', 85, 65)} || {_N2('missing_percent')} || '% missing cells.|Duplicates:' || {_GRADE('duplication_score', 90, 70)} || {_N2('duplicate_percent')} || '% duplicate rows.|Structure:'
+   || {_GRADE('structure_score', 85, 65)} || rows || ' rows and ' || column_count || ' columns.|Model signal:' || {_GRADE('signal_score', 85, 65)} || high_card_count || ' high-cardinality and ' || outlier_columns || ' outlier column group(s).' AS checks,
+  concat_ws('|', CASE WHEN rows < 30 THEN '{Q.FEW_ROWS}' END, CASE WHEN column_count < 2 THEN '{Q.FEW_COLUMNS}' END, (SELECT string_agg(title, '|' ORDER BY {_KIND}) FROM ({O.ISSUES_SELECT}) i WHERE severity = 'high')) AS blockers,
+  coalesce((SELECT string_agg(title, '|' ORDER BY {_KIND}) FROM ({O.ISSUES_SELECT}) i WHERE severity = 'medium'), '') AS warnings
+FROM ({O.HEALTH_SELECT}) h, (SELECT rows, column_count, missing_percent, duplicate_percent, high_card_count, outlier_columns FROM qfull) q""")
+
+
 @query("outliers_lineitem_defects")
 def outliers(spark, d):
     return Q.outlier_columns(lineitem_defects(spark, d))
