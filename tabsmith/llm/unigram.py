@@ -21,8 +21,8 @@ import ahocorasick
 import sentencepiece
 
 MARK = "▁"
-#: Segments whose result a worker keeps, in each of two generations: some 250 bytes each, so 50 MB.
-KEEP = 100_000
+#: Segments whose result a worker keeps, in each of two generations: some 250 bytes each, so 150 MB at most.
+KEEP = 300_000
 
 
 class Memo(dict):
