@@ -41,13 +41,13 @@ def drift_missing(spark, d):
     return _report(spark, d).missing
 
 
-def _miss_sql(cols):
+def _miss_sql(cols, ref=REF_SQL, cmp=CMP_SQL):
     parts = [
         f"""SELECT '{c}' AS column_name, r.m AS rm, c.m AS cm FROM
   (SELECT avg(({c} IS NULL)::DOUBLE) AS m FROM ref) r, (SELECT avg(({c} IS NULL)::DOUBLE) AS m FROM cmp) c"""
         for c in cols
     ]
-    return f"""WITH ref AS ({REF_SQL}), cmp AS ({CMP_SQL}), x AS ({' UNION ALL '.join(parts)})
+    return f"""WITH ref AS ({ref}), cmp AS ({cmp}), x AS ({' UNION ALL '.join(parts)})
 SELECT column_name, round(rm * 100, 2) AS reference_missing_percent, round(cm * 100, 2) AS comparison_missing_percent,
   round(abs(cm - rm) * 100, 2) AS shift_points,
   CASE WHEN abs(cm - rm) >= 0.25 THEN 'high' WHEN abs(cm - rm) >= 0.1 THEN 'medium' ELSE 'low' END AS severity FROM x"""
@@ -61,8 +61,8 @@ def drift_numeric(spark, d):
     return _report(spark, d).numeric
 
 
-def _num_sql(columns):
-    return f"""WITH ref AS ({REF_SQL}), cmp AS ({CMP_SQL}), x AS (
+def _num_sql(columns, ref=REF_SQL, cmp=CMP_SQL):
+    return f"""WITH ref AS ({ref}), cmp AS ({cmp}), x AS (
 """ + " UNION ALL ".join(
         f"""SELECT '{c}' AS column_name, r.mean AS rmean, c.mean AS cmean, r.std AS rstd, r.n AS rn, c.n AS cn FROM
   (SELECT avg(CAST({c} AS DOUBLE)) AS mean, stddev_pop(CAST({c} AS DOUBLE)) AS std, count({c}) AS n FROM ref) r,
@@ -85,11 +85,11 @@ def drift_category(spark, d):
     return _report(spark, d).categorical
 
 
-CAT_SQL = f"""WITH ref AS ({REF_SQL}), cmp AS ({CMP_SQL}),
-rf AS (SELECT 'o_orderstatus' AS column_name, o_orderstatus AS value, count(*) AS rc FROM ref WHERE o_orderstatus IS NOT NULL GROUP BY 2
-       UNION ALL SELECT 'o_orderdate', CAST(o_orderdate AS VARCHAR), count(*) FROM ref WHERE o_orderdate IS NOT NULL GROUP BY 2),
-cf AS (SELECT 'o_orderstatus' AS column_name, o_orderstatus AS value, count(*) AS cc FROM cmp WHERE o_orderstatus IS NOT NULL GROUP BY 2
-       UNION ALL SELECT 'o_orderdate', CAST(o_orderdate AS VARCHAR), count(*) FROM cmp WHERE o_orderdate IS NOT NULL GROUP BY 2),
+def _cat_sql(columns, ref=REF_SQL, cmp=CMP_SQL):
+    def counts(side, n):
+        return " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS {n} FROM {side} WHERE {c} IS NOT NULL GROUP BY 2" for c in columns)
+
+    return f"""WITH ref AS ({ref}), cmp AS ({cmp}), rf AS ({counts('ref', 'rc')}), cf AS ({counts('cmp', 'cc')}),
 rs AS (SELECT column_name, value, rc, rc / sum(rc) OVER (PARTITION BY column_name) AS rs FROM rf),
 cs AS (SELECT column_name, value, cc, cc / sum(cc) OVER (PARTITION BY column_name) AS cs FROM cf),
 j AS (SELECT coalesce(rs.column_name, cs.column_name) AS column_name, rs.rs, cs.cs FROM rs FULL OUTER JOIN cs
@@ -104,6 +104,9 @@ SELECT per.column_name, round(tv, 3) AS distribution_shift, round(unseen * 100,
   unseen >= 0.08 AS unseen_warning
 FROM per LEFT JOIN rt ON rt.column_name = per.column_name LEFT JOIN ct ON ct.column_name = per.column_name
 WHERE rv > 0 AND cv > 0"""
+
+
+CAT_SQL = _cat_sql(["o_orderstatus", "o_orderdate"])
 oracle("drift_category_orders", CAT_SQL)
 
 
@@ -112,19 +115,19 @@ def drift_summary(spark, d):
     return _report(spark, d).summary
 
 
-def _summary_sql(cmp_sql, miss, num):
-    """Columns are counted in the two sides' schemas; ``miss`` and ``num`` are the columns that both sides have."""
-    return f"""WITH m AS ({_miss_sql(miss)}), n AS ({_num_sql(num)}), c AS ({CAT_SQL}),
-rs AS (SELECT column_name FROM (DESCRIBE {REF_SQL})), cs AS (SELECT column_name FROM (DESCRIBE {cmp_sql})),
-q AS (SELECT column_name FROM rs WHERE column_name IN ({', '.join(map(repr, FEATURES))})),
+def _summary_sql(cmp_sql, miss, num, cat=("o_orderstatus", "o_orderdate"), ref=REF_SQL, values=CMP_SQL, required=FEATURES, target="o_orderpriority"):
+    """Columns are counted in the two sides' schemas; ``miss``, ``num`` and ``cat`` are the columns that both sides have."""
+    return f"""WITH m AS ({_miss_sql(miss, ref, values)}), n AS ({_num_sql(num, ref, values)}), c AS ({_cat_sql(cat, ref, values)}),
+rs AS (SELECT column_name FROM (DESCRIBE {ref})), cs AS (SELECT column_name FROM (DESCRIBE {cmp_sql})),
+q AS (SELECT column_name FROM rs WHERE column_name IN ({', '.join(map(repr, required))})),
 k AS (SELECT
   (SELECT count(*) FROM q) AS features, (SELECT count(*) FROM q SEMI JOIN cs USING (column_name)) AS compared, (SELECT count(*) FROM q ANTI JOIN cs USING (column_name)) AS gone,
-  (SELECT count(*) FROM cs ANTI JOIN q USING (column_name) WHERE column_name <> 'o_orderpriority') AS extra,
+  (SELECT count(*) FROM cs ANTI JOIN q USING (column_name) WHERE column_name <> '{target}') AS extra,
   (SELECT count(*) FROM m WHERE severity = 'high') AS miss_high, (SELECT count(*) FROM m WHERE severity = 'medium') AS miss_medium,
   (SELECT count(*) FROM n WHERE severity = 'high') AS num_high, (SELECT count(*) FROM n WHERE severity = 'medium') AS num_medium,
   (SELECT count(*) FROM c WHERE severity = 'high') AS cat_high, (SELECT count(*) FROM c WHERE severity = 'medium') AS cat_medium,
   (SELECT count(*) FROM c WHERE unseen_warning) AS unseen_warnings,
-  (SELECT count(*) FROM ({REF_SQL}) r) AS reference_rows, (SELECT count(*) FROM ({cmp_sql}) r) AS comparison_rows),
+  (SELECT count(*) FROM ({ref}) r) AS reference_rows, (SELECT count(*) FROM ({cmp_sql}) r) AS comparison_rows),
 s AS (SELECT *, comparison_rows < 20 OR (CASE WHEN reference_rows > 0 THEN comparison_rows / reference_rows ELSE 0 END) < 0.2 AS volume_warning FROM k),
 t AS (SELECT *, greatest(0, least(100, 100 - (CASE WHEN gone > 0 THEN least(65, 25 + gone * 8) ELSE 0 END + least(10, extra * 2) + least(20, miss_high * 6 + miss_medium * 3)
    + least(25, num_high * 7 + num_medium * 3) + least(25, cat_high * 7 + cat_medium * 3) + (CASE WHEN volume_warning THEN 5 ELSE 0 END)))) AS score FROM s)
@@ -200,3 +203,7 @@ def drift_events(spark, d):
     ref = e.filter(F.col("ts") < F.lit("2024-01-08").cast("timestamp"))
     cmp_ = e.filter(F.col("ts") >= F.lit("2024-01-08").cast("timestamp"))
     return DR.drift_report(ref, cmp_, ["user_id", "event_type", "value", "props"]).summary
+
+
+_WEEK1, _WEEK2 = ("SELECT * FROM events WHERE ts " + c for c in ("< TIMESTAMP '2024-01-08'", ">= TIMESTAMP '2024-01-08'"))
+oracle("drift_summary_events_by_week", _summary_sql(_WEEK2, ["user_id", "event_type", "value", "props"], ["user_id", "value"], ["event_type", "props"], _WEEK1, _WEEK2, ["user_id", "event_type", "value", "props"], ""))
