@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import bounded_sample, byte_slices, pieces, small_batches, utf8, worker_cache
+from tabsmith.llm.common import bounded_sample, byte_slices, give_back, pieces, small_batches, utf8, worker_cache
 
 ORDER = 4
 SAMPLE_DOCS = 1000
@@ -169,7 +169,10 @@ def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_text: int = SAM
         own = [r for r in learned if r["lang"] == name]
         grams, inverse = np.unique(np.concatenate([np.frombuffer(r["grams"], "<u8") for r in own]), return_inverse=True)
         trees[name] = Tree(grams, np.bincount(inverse, np.concatenate([np.frombuffer(r["counts"], "<i4") for r in own])), order)
-    return Model(trees, str(hash(tuple(sorted((r["lang"], hash(bytes(r["grams"]))) for r in learned)))))
+    token = str(hash(tuple(sorted((r["lang"], hash(bytes(r["grams"]))) for r in learned))))
+    del learned
+    give_back()  # on the driver, too
+    return Model(trees, token)
 
 
 def identify(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
