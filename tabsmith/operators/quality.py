@@ -26,12 +26,11 @@ from tabsmith.functions.scalar import (
     quality_grade,
     severity_from_percent,
 )
-from tabsmith.operators.freq import column_specs, frequency_table
+from tabsmith.operators.freq import column_specs, unique_counts
 from tabsmith.operators.profile import column_summary
-from tabsmith.operators.quantiles import exact_quantiles, numeric_long, value_counts
-from tabsmith.operators.ranking import top_k_within
+from tabsmith.operators.quantiles import exact_quantiles
 from tabsmith.operators.rules import said
-from tabsmith.session import cut_lineage, settled
+from tabsmith.session import settled
 
 
 def one_row_join(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -50,34 +49,34 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def outlier_columns(df: DataFrame) -> DataFrame:
+def outlier_columns(df: DataFrame, distinct: dict[str, int] | None = None) -> DataFrame:
     """Per numeric column with >= 8 distinct values and IQR != 0, values
-    outside ``[q1 - 1.5 IQR, q3 + 1.5 IQR]``; sorted by count desc."""
+    outside ``[q1 - 1.5 IQR, q3 + 1.5 IQR]``; sorted by count desc. ``distinct``: the columns' distinct values, if counted."""
     specs = [s for s in column_specs(df) if s.numeric and not isinstance(s.dtype, T.BooleanType)]
     if not specs:
         schema = "position long, column_name string, count long, percent double, lower_bound double, upper_bound double"
         return df.sparkSession.createDataFrame([], schema)
     names = [s.name for s in specs]
     pos = F.create_map(*[x for s in specs for x in (F.lit(s.name), F.lit(s.position))])
-    counts = value_counts(numeric_long(df, names))
-    counts = cut_lineage(counts)
-    distinct = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct"), F.sum("cnt").alias("n"))
-    q = exact_quantiles(df, names, [0.25, 0.75], counts=counts)
+    q = exact_quantiles(df, names, [0.25, 0.75])
     quart = q.groupBy("column_name").agg(
         F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q1"),
         F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("q3"),
     )
+    # A constant column and one without spread have none; the distinct values of the others are counted up to 8.
     bounds = (
-        quart.join(distinct, "column_name")
-        .withColumn("iqr", F.col("q3") - F.col("q1"))
-        .filter((F.col("distinct") >= 8) & (F.col("iqr") != 0))
+        quart.withColumn("iqr", F.col("q3") - F.col("q1"))
+        .filter(F.col("iqr") != 0)
         .withColumn("lower", F.col("q1") - 1.5 * F.col("iqr"))
         .withColumn("upper", F.col("q3") + 1.5 * F.col("iqr"))
     )
-    # bounds has one row per numeric column: bounded by the schema.
-    outside = counts.join(F.broadcast(bounds.select("column_name", "lower", "upper")), "column_name").groupBy(
-        "column_name"
-    ).agg(F.sum(F.when((F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper")), F.col("cnt")).otherwise(0)).alias("count"))
+    limits = {r["column_name"]: (r["lower"], r["upper"]) for r in bounds.collect()}  # one row a numeric column
+    varied = {r["column_name"] for r in unique_counts(df, list(limits)).where("unique_count >= 8").collect()} if limits and distinct is None else {c for c in limits if distinct[c] >= 8} if limits else set()
+    bounds = bounds.filter(F.col("column_name").isin(*varied)) if varied else bounds.limit(0)
+    cell = lambda c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double"))
+    sums = [F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"), F.col(f"o{i}").alias("count")) for i, c in enumerate(names) if c in varied]
+    facts = [x for i, c in enumerate(names) if c in varied for x in (F.count(cell(c)).alias(f"n{i}"), F.count_if((cell(c) < limits[c][0]) | (cell(c) > limits[c][1])).alias(f"o{i}"))]
+    outside = settled(df.agg(*facts).select(F.inline(F.array(*sums)))) if sums else df.sparkSession.createDataFrame([], "column_name string, n long, count long")
     res = bounds.join(outside, "column_name").filter(F.col("count") > 0)
     return res.select(
         pos[F.col("column_name")].cast("long").alias("position"),
@@ -104,14 +103,14 @@ def probably_datetime(df: DataFrame, order_by: str | None = None, sample: int =
     if not texts:
         return base if base is not None else spark.createDataFrame([], "column_name string, probably_datetime boolean")
     ordered = df.withColumn("_ord", F.col(f"`{order_by}`") if order_by else F.monotonically_increasing_id())
-    structs = [F.struct(F.lit(s.name).alias("column_name"), F.col(f"`{s.name}`").cast("string").alias("value")) for s in texts]
-    longf = ordered.select("_ord", F.explode(F.array(*structs)).alias("s")).select("_ord", "s.column_name", "s.value")
-    longf = longf.filter(F.col("value").isNotNull())
-    firsts = top_k_within(longf, ["column_name"], [F.asc("_ord"), F.asc("value")], sample, "_ord", "rank")
+    # the first values are a top-n of each task, then of those: a column is never sorted
+    cell = lambda s: F.col(f"`{s.name}`").cast("string")
+    firsts = reduce(DataFrame.unionAll, [ordered.select(F.lit(s.name).alias("column_name"), cell(s).alias("value"), "_ord").where("value IS NOT NULL").orderBy(F.asc("_ord"), F.asc("value")).limit(sample) for s in texts])
     share = firsts.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("_k"), F.avg(lenient_timestamp(F.col("value")).isNotNull().cast("double")).alias("_s")
     )
-    nn = longf.groupBy("column_name").agg(F.count(F.lit(1)).alias("_nn"))
+    sums = df.agg(*[F.count(cell(s)).alias(f"n{i}") for i, s in enumerate(texts)])
+    nn = sums.select(F.inline(F.array(*[F.struct(F.lit(s.name).alias("column_name"), F.col(f"n{i}").alias("_nn")) for i, s in enumerate(texts)])))
     res = share.join(nn, "column_name").select(
         "column_name", ((F.col("_nn") >= 8) & (F.col("_s") >= 0.8)).alias("probably_datetime")
     )
@@ -134,8 +133,7 @@ class QualityReport:
 
 def column_flags(df: DataFrame, order_by: str | None = None, target: str | None = None) -> DataFrame:
     """Per column: missing, unique ratio, constant / id-like / high-cardinality flags."""
-    freq = frequency_table(df)
-    summ = settled(column_summary(df, freq=freq))
+    summ = settled(column_summary(df))
     id_names = [c for c in df.columns if is_id_like_name(c)]
     # The date-shape sample only decides between "high-cardinality" and "date", so
     # it runs only for text columns that pass the cardinality test (a plan decision
@@ -180,7 +178,7 @@ def _cols_csv(flag: str, limit: int, order: list) -> F.Column:
 
 def quality_report(df: DataFrame, order_by: str | None = None) -> QualityReport:
     flags = settled(column_flags(df, order_by))
-    outl = settled(outlier_columns(df))
+    outl = settled(outlier_columns(df, {r["column_name"]: r["unique_count"] for r in flags.collect()}))
     dup = duplicate_rows(df)
     n_cols = len(df.columns)
 
