@@ -60,11 +60,11 @@ oracle("serving_template_lineitem", _template_sql())
 # ---------------------------------------------------------------- audit previews
 def _calls(spark, d):
     """One call per order: its lines are the rows, a rule the prediction."""
-    li = T(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_linestatus", F.repeat(F.col("l_linestatus"), 130).alias("long_text"))
+    li = T(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_linestatus")
     rows = row_number_within(li, ["l_orderkey"], [F.asc(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus")], out="n")
     sure = F.col("l_quantity") / 50
     return rows.select(
-        F.col("l_orderkey").alias("audit_id"), (F.col("n") - 1).cast("int").alias("row"), "l_quantity", "l_linestatus", "long_text",
+        F.col("l_orderkey").alias("audit_id"), (F.col("n") - 1).cast("int").alias("row"), "l_quantity", "l_linestatus", F.repeat(F.col("l_linestatus"), 130).alias("long_text"),
         F.when(F.col("l_quantity") > 25, "yes").otherwise("no").alias("prediction"), sure.alias("confidence"),
         F.when(sure >= 0.75, "high").when(sure >= 0.55, "medium").otherwise("low").alias("confidence_band"), (sure < 0.55).alias("low_confidence"),
     )

@@ -68,8 +68,10 @@ def audit_previews(calls: DataFrame, inputs: list[str]) -> DataFrame:
     more than the rows that are kept."""
     row = F.col("row")
     kept = calls.where(row < max(PREVIEW_ROWS, DETAIL_ROWS, PREDICTION_ROWS))
-    preview = F.struct(row.alias("row"), *[truncate_text(_q(c)).alias(c) for c in inputs])
+    preview = F.struct(row.alias("row"), *[_q(c) for c in inputs])
     detail = F.struct(row.alias("row"), "prediction", "confidence", "confidence_band", "low_confidence")
+    # texts leave the rows that no preview shows before the rows move, and the rest is one array a call
+    kept = kept.select("audit_id", "row", *[F.when(row < PREVIEW_ROWS, truncate_text(_q(c))).alias(c) for c in inputs], "prediction", "confidence", "confidence_band", "low_confidence")
     first = lambda x, n: F.sort_array(F.collect_list(F.when(row < n, x)))
     return kept.groupBy("audit_id").agg(
         first(preview, PREVIEW_ROWS).alias("input_preview"), first(detail, DETAIL_ROWS).alias("prediction_details"),
